@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 
@@ -168,10 +167,13 @@ def op6_pii(spark, sf_dir):
     def joined(of):
         return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE),
+        *(count(k) for k in BASE),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
         F.array_join(F.transform("found", lambda x: F.round(x["score"], 3).cast("string")), ",").alias("scores"),
