@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pinwall.llm import line_dedup, media, mixing, pii, token_counts, toxicity
+from pinwall.llm import line_dedup, media, mixing, packing, pii, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_topk": topk.op2_topk,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_pii": pii.op6_pii,
     "op7_media_columns": media.op7_media_columns,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
+    "op2_topk": topk.OP2_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
