@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, words: int = WORDS, text: str = "text", key: str
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:
     """c, tokens (sorted 64-bit hashes as bytes) for wanted (rk, c), one row of docs for each."""
-    rows = docs.select(common.row_key(key, text).alias("rk"), F.col(text).cast("string").alias("text")).join(wanted, "rk").select("c", "text")
+    rows = docs.select(common.row_key(key, text).alias("rk"), F.col(text).cast("string").alias("text")).join(wanted.hint("merge"), "rk").select("c", "text")
 
     def make():
         hashes = WordHashes()
