@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pinwall.llm import line_dedup, media, mixing, neardup, packing, pii, token_counts, topk, toxicity
+from pinwall.llm import line_dedup, media, mixing, neardup, packing, pii, substring_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_topk": topk.op2_topk,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_minhash_neardup": neardup.op4_minhash_neardup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_pii": pii.op6_pii,
