@@ -1,11 +1,90 @@
-"""The corpus pipeline (stages follow as their operators are built)."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on every row
+of docs and returns a DataFrame, which run() writes as Parquet and reads again for the next
+stage. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pinwall.llm import common, line_dedup, mixing, neardup, packing, toxicity
+
+
+def _as_documents(rows: DataFrame, columns: list[str], text) -> DataFrame:
+    """The input's columns from `row`, with another text and its length where there is such a column."""
+    out = []
+    for c in columns:
+        if c == "text":
+            out.append(text.alias(c))
+        elif c == "n_chars":
+            out.append(F.coalesce(F.length(text), F.lit(0)).cast("long").alias(c))
+        else:
+            out.append(F.col(f"row.`{c}`").alias(c))
+    return rows.select(*out)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of the labels doesn't predict as toxic."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)("text") < toxicity.THRESHOLD)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of three-line windows; those of which no line is left go."""
+    found = line_dedup.line_dedup(docs)
+    kept = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return _as_documents(kept, docs.columns, F.col("kept_text"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that of the smallest id.
+
+    Rows that repeat a kept document's id and text stay once.
+    """
+    found = neardup.near_duplicates(docs)
+    kept = found.where("kept").select("rk").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key().alias("rk"))
+    rows = rows.join(kept.hint("merge"), "rk", "left_semi")
+    return rows.dropDuplicates(["rk"]).select("row.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document once for each epoch that takes it whole, and its first words where the budget takes a part; those of which nothing is taken go."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    mixed = mixing.mix(mixing.scored(docs, row)).withColumnRenamed("kept", "row")
+    text = F.col("row.text")
+    # words with the blanks after them, so that what is kept of the text keeps its lines
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
+    copies = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))
+    rows = mixed.where("taken > 0").withColumn("copy", F.explode(copies))
+    rows = rows.withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    return _as_documents(rows, docs.columns, F.when(F.col("words") == F.col("size"), text).otherwise(part))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_neardup", drop_near_duplicates),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The model, near duplicates and tokens are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = common.written(stage(spark, docs, sf_dir))
     return docs
