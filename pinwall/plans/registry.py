@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from pinwall.plans import boards
+
+_ALL = {**boards.PAIRS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for k, (q, _) in _ALL.items()}
+ORACLE: dict[str, str] = {k: s for k, (_, s) in _ALL.items() if s}
