@@ -65,16 +65,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def instances(text: str | None, lookup: _Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the text's words and where each of its sentences begins among them; a text without words is one sentence of none."""
-    flat, starts = [], [0]
+    """Features of the text's words and where each of its sentences begins among them.
+
+    Every sentence with a word counts, also if no feature of its words does; a text without
+    words is one sentence of none. The lookup has None for sentence ends.
+    """
+    flat, starts, worded = [], [], False
     for got in map(lookup.__getitem__, _TOKEN.findall((text or "").lower())):
-        if got:
+        if got is None:
+            worded = False
+        else:
+            if not worded:
+                starts.append(len(flat))
+                worded = True
             flat += got
-        elif len(flat) > starts[-1]:
-            starts.append(len(flat))
-    if len(starts) > 1 and starts[-1] == len(flat):
-        starts.pop()
-    return np.array(flat, np.int64), np.array(starts, np.int64)
+    return np.array(flat, np.int64), np.array(starts or [0], np.int64)
 
 
 class Model:
@@ -104,28 +109,18 @@ class Model:
 
 
 def fit(words: list[np.ndarray], starts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Full-batch Adam on the noisy-or likelihood; the order of documents is the only input order."""
+    """Full-batch Adam on the noisy-or likelihood over the features that words hold; each document has at least one sentence."""
     weights = np.zeros(FEATURES)
     if not len(words) or toxic.min() == toxic.max():
         return Model(START if not len(words) or not toxic.max() else -START, weights)
     y = toxic.astype(bool)
-    seen, hits = np.zeros(FEATURES), np.zeros(FEATURES)
-    for w, bad in zip(words, y):
-        own = np.unique(w)
-        seen[own] += 1
-        hits[own] += bad
-    rate = y.mean()
-    z = (hits - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
     # sentence of each word and document of each sentence, over all documents
     n_words = np.array([len(w) for w in words])
-    n_sent = np.array([len(s) for s in starts])
-    doc_of = np.repeat(np.arange(len(words)), n_sent)
+    doc_of = np.repeat(np.arange(len(words)), [len(s) for s in starts])
     first = np.concatenate([s + o for s, o in zip(starts, np.concatenate([[0], np.cumsum(n_words)[:-1]]))])
     flat = np.concatenate(words)
-    # sentences without words share a start with their successor, so count starts instead of steps
+    # a sentence without words begins where its successor does: the last that begins at or before a word holds it
     sent_of = np.searchsorted(first, np.arange(len(flat)), side="right") - 1
-    known = ((seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z))[flat]
-    flat, sent_of = flat[known], sent_of[known]
     used, flat = np.unique(flat, return_inverse=True)
     w, bias = np.zeros(len(used)), START
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -145,6 +140,25 @@ def fit(words: list[np.ndarray], starts: list[np.ndarray], toxic: np.ndarray) ->
     return Model(float(bias), weights)
 
 
+def _counted(batches):
+    """feature, seen, hits of one task's documents (y, text): arrays of FEATURES numbers, whatever the input's size."""
+    lookup, seen, hits = _Lookup(features, None), np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
+    for batch in batches:
+        for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.unique(instances(t.as_py(), lookup)[0])
+            seen[own] += 1
+            hits[own] += y
+    some = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.array(hits[some])], names=["feature", "seen", "hits"])
+
+
+def significant(counts: DataFrame, n: int, toxic: int) -> DataFrame:
+    """Features whose number of toxic documents is MIN_Z deviations or more from what `toxic` of n lets expect."""
+    rate = toxic / max(n, 1)
+    sums = counts.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("hits").alias("hits")).where(F.col("seen") >= MIN_DOCS)
+    return sums.where(F.abs(F.col("hits") - F.col("seen") * rate) >= F.sqrt(F.col("seen") * (rate * (1 - rate))) * MIN_Z).select("feature")
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
 
@@ -153,15 +167,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Fits on labelled documents whose crc32(key as text) mod 4 is not 2.
 
     Null labels and null keys are left out; a key with several labels counts as toxic if one
-    is. The bounded list of keys is broadcast, and the driver gets their hashed words only.
+    is. The bounded list of keys is broadcast. Features are counted on the executors; the
+    driver gets the significant ones and, of each training document, where those stand.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     chosen = chosen.groupBy(F.col(key).cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(limit)
+    chosen = common.written(chosen.orderBy(F.xxhash64("k"), "k").limit(limit))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")
+    n, toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    counts = rows.select("y", "text").mapInArrow(_counted, "feature long, seen long, hits long")
+    used = frozenset(r["feature"] for r in significant(counts, n, toxic).collect())
 
     def make():
-        lookup = _Lookup(features, ())
+        lookup = _Lookup(lambda w: [f for f in features(w) if f in used], None)
 
         def each(cols):
             made = [instances(t, lookup) for t in cols["text"]]
