@@ -51,16 +51,10 @@ def retain(evidence: DataFrame) -> DataFrame:
     group = [*NOTE, "engine", "scope", "line_index"]
     rows = evidence.withColumn("norm", T.normalized_line(F.col("text")))
     distinct = rows.withColumn("r", F.row_number().over(Window.partitionBy(*group, "norm").orderBy(F.col("confidence").desc(), "seq"))).where("r = 1")
-    # ties keep the order in which distinct texts first arrived
-    first = rows.groupBy(*group, "norm").agg(F.min("seq").alias("arrived"))
-    same = [distinct[c].eqNullSafe(first[c]) for c in (*group, "norm")]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    joined = distinct.join(first, cond).select(*(distinct[c] for c in evidence.columns), first["arrived"])
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("confidence").desc(), "arrived"))
+    # of equals, the text that reached its confidence first stands first
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("confidence").desc(), "seq"))
     limit = F.when(F.col("scope") == "note", 4).otherwise(2)
-    return joined.withColumn("place", place).where(F.col("place") <= limit).drop("arrived")
+    return distinct.drop("norm", "r").withColumn("place", place).where(F.col("place") <= limit)
 
 
 def reader_top(evidence: DataFrame, k: int = 2) -> DataFrame:

@@ -118,8 +118,8 @@ def evidence_retention(spark, sf):
     return E.retain(evidence(spark, sf)).select("note_id", "engine", "seq", "text", "confidence")
 
 
-EVIDENCE_RETENTION = _BASE + f""", n AS (SELECT *, {_norm('text')} AS norm FROM evidence), d AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine, norm ORDER BY confidence DESC, seq) AS r, min(seq) OVER (PARTITION BY note_id, engine, norm) AS arrived FROM n),
-p AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY confidence DESC, arrived) AS place FROM d WHERE r = 1) SELECT note_id, engine, seq, text, confidence FROM p WHERE place <= 4"""
+EVIDENCE_RETENTION = _BASE + f""", n AS (SELECT *, {_norm('text')} AS norm FROM evidence), d AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine, norm ORDER BY confidence DESC, seq) AS r FROM n),
+p AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY confidence DESC, seq) AS place FROM d WHERE r = 1) SELECT note_id, engine, seq, text, confidence FROM p WHERE place <= 4"""
 
 
 def exact_vote(spark, sf):
