@@ -56,11 +56,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: s
     """
     at = _occurrences(docs, text, key, window)
     first = common.written(at.groupBy("w").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    later = at.join(first, "w").where(F.col("at") > F.col("first"))
+    later = at.join(first.hint("merge"), "w").where(F.col("at") > F.col("first"))
     starts = common.written(later.groupBy(F.col("at.rk").alias("rk")).agg(F.collect_set("at.pos").alias("starts")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key(key, text).alias("rk"))
     cut = _cutter(window)(F.col(f"row.`{text}`"), F.col("starts"))
-    done = rows.join(starts, "rk", "left").select("row", cut.alias("cut"))
+    done = rows.join(starts.hint("merge"), "rk", "left").select("row", cut.alias("cut"))
     return done.select("row", "cut.n_lines", "cut.n_removed", "cut.kept_text")
 
 
