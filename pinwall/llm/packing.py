@@ -233,7 +233,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece; repeated documents are packed each."""
     made = common.written(pieces(docs, tokenizer_path, capacity, text=text, key=key))
-    return made.join(pack(made.select("item", "length"), capacity), "item").drop("item")
+    return made.withColumn("piece", F.col("piece").cast("int")).join(pack(made.select("item", "length"), capacity), "item").drop("item")
 
 
 def sequences(with_ids: DataFrame, packing: DataFrame) -> DataFrame:
