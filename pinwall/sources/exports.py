@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pinwall.functions import color as C
 from pinwall.functions import text as T
 
+# The header of board tables.
 HEADER = ("Post-it-Nr.", "Reihe/Zeile", "Spalte", "Farbe", "Farbcode (HEX)", "Text")
 SLIDE_WIDTH, SLIDE_HEIGHT, MARGIN = 13.333, 7.5, 0.34
 BOM = "﻿"
