@@ -18,7 +18,7 @@ WORDS, PERCENT = 5, 80
 CHUNKS, SYMBOLS = 7, 4
 #: Candidates differ in at most so many symbols. With 2 * CHUNKS - 1 errors one chunk has at most one, so a key of three
 #: of its four symbols is shared: no pair within the threshold is missed. Sets at similarity 0.8 are within it but for
-#: one pair in 2,000, at 0.85 but for one in 50,000, at 0.9 but for one in 6 million.
+#: one pair in 2,700, at 0.85 but for one in 70,000, at 0.9 but for one in 10 million.
 THRESHOLD = 2 * CHUNKS - 1
 #: Centres for each key in the two star rounds; rows of a block of strays and of members in the exact round.
 CENTRES, STAR_ROUNDS, STRAYS, MEMBERS = 4, 2, 256, 1024
