@@ -177,7 +177,7 @@ def _filter_bits(repeated: DataFrame) -> np.ndarray:
     """FILTER_BITS bits as numbers of 64, set for the hashes in column h."""
     slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     # shiftleft takes its amount from the row
-    words = repeated.select(F.shiftright(slot, 6).alias("i"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    words = repeated.select(F.shiftright(slot, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     got = words.toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[got.column("i").to_numpy()] = got.column("b").to_numpy()
@@ -190,58 +190,51 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _pieces(rows: DataFrame, window: int, bits) -> DataFrame:
-    """rid, rk, start, words: runs of windows whose routing hash passes the filter, at most PIECE windows in each."""
-    width = window - GRAM + 1
-    schema = pa.schema([("rid", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
-
-    def make():
-        rid = [TaskContext.get().partitionId() << 26]
+    """rid, rk, start, words, segs: runs of windows whose routing hash passes the filter, cut between segments to at most PIECE windows.
 
-        def each(rk, words, hashes):
-            if len(words) < window:
-                return
-            grams = RunHashes(word_hashes(words, hashes)).fixed(GRAM)
-            h, first, last = segments(grams, width)
-            fine = _passes(bits.value, h)
-            if not fine.any():
-                return
-            first, last = first[fine], last[fine]
-            new = np.flatnonzero(np.concatenate([[True], first[1:] != last[:-1] + 1]))
-            for a, b in zip(first[new].tolist(), last[np.append(new[1:], len(first)) - 1].tolist()):
-                for s in range(a, b + 1, PIECE):
-                    e = min(s + PIECE, b + 1)
-                    yield rid[0], rk, s, b" ".join(words[s : e + window - 1])
-                    rid[0] += 1
-
-        return each
+    segs lists the piece's segments: h, sh (hash of the segment's words), off (in the piece), n (windows).
+    """
+    width = window - GRAM + 1
+    listed = pa.list_(pa.int64())
+    schema = pa.schema([("rid", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("h", listed), ("sh", listed), ("off", listed), ("n", listed)])
+
+    def of_text(rk, words, hashes, rid):
+        if len(words) < window:
+            return
+        runs = RunHashes(word_hashes(words, hashes))
+        h, first, last = segments(runs.fixed(GRAM), width)
+        fine = _passes(bits.value, h)
+        if not fine.any():
+            return
+        h, first, last = h[fine], first[fine], last[fine]
+        sh = runs.spans(first, last + window)
+        new = np.concatenate([[True], first[1:] != last[:-1] + 1])
+        begin = first[np.flatnonzero(new)][np.cumsum(new) - 1]
+        # a segment has at most `width` windows, so those that begin within the step end within the piece
+        part = (first - begin) // max(1, PIECE - width)
+        cut = np.flatnonzero(np.concatenate([[True], new[1:] | (part[1:] != part[:-1])]))
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist()):
+            s, e = int(first[i]), int(last[j - 1])
+            yield rid[0], rk, s, b" ".join(words[s : e + window]), h[i:j].view(np.int64), sh[i:j].view(np.int64), first[i:j] - s, last[i:j] - first[i:j] + 1
+            rid[0] += 1
 
     def run(batches):
-        each, hashes = make(), WordHashes()
+        hashes, rid = WordHashes(), [TaskContext.get().partitionId() << 26]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [row for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in each(rk, common.words_of(t), hashes)]
+                made = [row for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in of_text(rk, common.words_of(t), hashes, rid)]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
 
-    return rows.mapInArrow(run, "rid long, rk long, start long, words binary")
+    made = rows.mapInArrow(run, "rid long, rk long, start long, words binary, h array<long>, sh array<long>, off array<long>, n array<long>")
+    return made.select("rid", "rk", "start", "words", F.arrays_zip("h", "sh", "off", "n").alias("segs"))
 
 
-def _segment_rows(pieces: DataFrame, window: int) -> DataFrame:
-    """h, sh (hash of the segment's words), at (piece * 8192 + offset), n (windows): all segments of all pieces."""
-    width = window - GRAM + 1
-    schema = pa.schema([(c, pa.int64()) for c in ("h", "sh", "at", "n")])
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                runs = RunHashes(word_hashes(text.as_py().split(), hashes))
-                h, first, last = segments(runs.fixed(GRAM), width)
-                cols = [h.view(np.int64), runs.spans(first, last + window).view(np.int64), rid * 8192 + first, last - first + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=schema)
-
-    return pieces.select("rid", "words").mapInArrow(run, "h long, sh long, at long, n long")
+def _segment_rows(pieces: DataFrame) -> DataFrame:
+    """h, sh, at (piece * 8192 + offset), n: all segments of all pieces."""
+    rows = pieces.select("rid", F.explode("segs").alias("s"))
+    return rows.select("s.h", "s.sh", (F.col("rid") * 8192 + F.col("s.off")).alias("at"), "s.n")
 
 
 def _dealt(rows: DataFrame, shards: int, window: int) -> DataFrame:
@@ -356,14 +349,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     counted = _scan(rows, "h long", pa.schema([("h", pa.int64())]), runs)
     bits = spark.sparkContext.broadcast(_filter_bits(counted.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")))
     pieces = common.written(_pieces(rows, window, bits), compression="zstd")
-    segs = _segment_rows(pieces, window)
+    segs = _segment_rows(pieces)
     distinct = common.written(segs.groupBy("h", "sh", "n").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("at")))
     often = distinct.groupBy("h").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
     often = common.written(often.select("h", (F.col("kinds") > HOT).alias("hot")))
     routed = distinct.join(often.hint("merge"), "h")
     of_piece = routed.groupBy(F.shiftright("at", 13).alias("rid")).agg(F.collect_list(F.struct("h", "sh", F.col("at").bitwiseAND(F.lit(8191)).alias("off"), "n", "k", "hot")).alias("segs"))
     shards = max(1, -(-distinct.count() // SHARD))
-    dealt = _dealt(pieces.join(of_piece.hint("merge"), "rid").select("words", "segs"), shards, window)
+    dealt = _dealt(pieces.select("rid", "words").join(of_piece.hint("merge"), "rid").select("words", "segs"), shards, window)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _matched(b, window), "sh long, mask long")
     masks = common.written(found.groupBy("sh").agg(F.bit_or("mask").alias("mask")))
