@@ -83,14 +83,19 @@ def instances(text: str | None, lookup: _Lookup) -> tuple[np.ndarray, np.ndarray
 
 
 class Model:
-    """A document is toxic if one of its sentences is: P = 1 - prod(1 - sigmoid(bias + sum of word weights))."""
+    """A document is toxic if one of its sentences is; a sentence has the logit bias + sum of word weights.
 
-    def __init__(self, bias: float, weights: np.ndarray):
-        self.bias, self.weights = bias, weights
+    With a leak (a logit, as fitted) a document carries it once: P = 1 - (1 - sigmoid(leak)) * exp(-risk),
+    where risk is that of its worst sentence above a sentence of no weight, so length adds nothing.
+    Without one every sentence carries the bias: P = 1 - prod(1 - sigmoid(logit)).
+    """
+
+    def __init__(self, bias: float, weights: np.ndarray, leak: float | None = None):
+        self.bias, self.weights, self.leak = bias, weights, leak
         self._lookup = None
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_lookup": None}
+        return {"bias": self.bias, "weights": self.weights, "leak": self.leak, "_lookup": None}
 
     def sentence_logits(self, text: str | None) -> np.ndarray:
         if self._lookup is None:
@@ -104,15 +109,23 @@ class Model:
         return self.bias + np.add.reduceat(word, starts[starts < len(word)])
 
     def score(self, text: str | None) -> float:
-        """Noisy-or of all sentences."""
-        return float(-np.expm1(-np.logaddexp(0, self.sentence_logits(text)).sum()))
+        """Noisy-or of the leak and the worst sentence, or of all sentences if there is no leak."""
+        z = self.sentence_logits(text)
+        if self.leak is None:
+            return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        risk = max(0.0, np.logaddexp(0, z.max()) - np.logaddexp(0, self.bias))
+        return float(-np.expm1(-np.logaddexp(0, self.leak) - risk))
 
 
 def fit(words: list[np.ndarray], starts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """Full-batch Adam on the noisy-or likelihood over the features that words hold; each document has at least one sentence."""
+    """Full-batch Adam over the features that words hold; each document has at least one sentence.
+
+    The likelihood is the noisy-or of a leak per document and of what each sentence has above
+    one of no weight; sentences below that have nothing.
+    """
     weights = np.zeros(FEATURES)
     if not len(words) or toxic.min() == toxic.max():
-        return Model(START if not len(words) or not toxic.max() else -START, weights)
+        return Model(START, weights, START if not len(words) or not toxic.max() else -START)
     y = toxic.astype(bool)
     # sentence of each word and document of each sentence, over all documents
     n_words = np.array([len(w) for w in words])
@@ -122,22 +135,29 @@ def fit(words: list[np.ndarray], starts: list[np.ndarray], toxic: np.ndarray) ->
     # a sentence without words begins where its successor does: the last that begins at or before a word holds it
     sent_of = np.searchsorted(first, np.arange(len(flat)), side="right") - 1
     used, flat = np.unique(flat, return_inverse=True)
-    w, bias = np.zeros(len(used)), START
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    w, at = np.zeros(len(used)), np.array([START, START])
+    m, v, ma, va = np.zeros(len(used)), np.zeros(len(used)), np.zeros(2), np.zeros(2)
     for t in range(1, ROUNDS + 1):
-        z = bias + np.bincount(sent_of, weights=w[flat], minlength=len(doc_of))
-        total = np.maximum(np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(y)), 1e-12)
+        bias, leak = at
+        above = np.bincount(sent_of, weights=w[flat], minlength=len(doc_of))
+        z = bias + above
+        risk = np.where(above > 0, np.logaddexp(0, z) - np.logaddexp(0, bias), 0.0)
+        total = np.bincount(doc_of, weights=risk, minlength=len(y)) + np.logaddexp(0, leak)
+        total = np.maximum(total, 1e-12)
         # d(-log P)/d total is -1 / (e^total - 1), d(-log(1 - P))/d total is 1
         g = np.where(y, -1 / np.expm1(np.minimum(total, 50)), 1.0) / len(y)
-        gz = g[doc_of] / (1 + np.exp(-z))
-        gw, gb = np.bincount(flat, weights=gz[sent_of], minlength=len(used)) + DECAY * w, gz.sum()
+        # a sentence of no weight may gain some; one below has no slope
+        gs = np.where(above >= 0, g[doc_of], 0.0)
+        p, p0 = np.exp(-np.logaddexp(0, -z)), np.exp(-np.logaddexp(0, -bias))
+        gw = np.bincount(flat, weights=(gs * p)[sent_of], minlength=len(used)) + DECAY * w
+        ga = np.array([(gs * (p - p0)).sum(), g.sum() * np.exp(-np.logaddexp(0, -leak))])
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        ma, va = 0.9 * ma + 0.1 * ga, 0.999 * va + 0.001 * ga * ga
         a, b = 1 - 0.9**t, 1 - 0.999**t
         w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-8)
-        bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-8)
+        at = at - RATE * (ma / a) / (np.sqrt(va / b) + 1e-8)
     weights[used] = w
-    return Model(float(bias), weights)
+    return Model(float(at[0]), weights, float(at[1]))
 
 
 def _counted(batches):

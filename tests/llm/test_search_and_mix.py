@@ -149,3 +149,17 @@ def test_scores_are_noisy_or(spark, odd, empty):
 def test_held_out_rows(spark):
     got = {r.doc_id: r.h for r in spark.range(300).select(F.col("id").alias("doc_id"), toxicity.held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(300)}
+
+
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.train(docs, labels)
+    clean = [t for i, t in sorted(map(tuple, docs.collect())) if i % 6]
+    assert max(map(model.score, clean)) < toxicity.THRESHOLD
+    for size in (1_000, 100_000, 800_000):
+        text = "\n".join(clean * (1 + size // sum(map(len, clean))))
+        assert len(text) > size
+        assert model.score(text) == pytest.approx(max(map(model.score, clean)))
+        for at in (0, len(text) // 2, len(text)):
+            at = text.find("\n", at) if 0 < at < len(text) else at
+            assert model.score(f"{text[:at]}\nyou utter {RUDE[0]}.\n{text[at:]}") >= toxicity.THRESHOLD
