@@ -40,12 +40,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that of the smallest id.
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): that of the smallest (id, row key).
 
-    Rows that repeat a kept document's id and text stay once.
+    Rows that repeat a kept document's id and text stay once, as do those without words or an id.
     """
     found = neardup.near_duplicates(docs)
-    kept = found.where("kept").select("rk").distinct()
+    # the kept rows of a group share its smallest id
+    alone = F.when(F.col("group").isNull(), F.col("rk"))
+    kept = found.where("kept").groupBy("group", alone.alias("alone")).agg(F.min("rk").alias("rk")).select("rk")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key().alias("rk"))
     rows = rows.join(kept.hint("merge"), "rk", "left_semi")
     return rows.dropDuplicates(["rk"]).select("row.*")

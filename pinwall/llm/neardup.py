@@ -296,13 +296,15 @@ def _exact(shared: DataFrame, sig: DataFrame, sets: DataFrame, labels: DataFrame
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, rk, n_shingles, component_id, kept: one row for each row of docs.
+    """doc_id, rk, n_shingles, component_id, kept, group: one row for each row of docs.
 
     Documents are linked if the Jaccard similarity of their sets of `words`-word shingles is at
     least percent / 100. component_id is the smallest doc_id of all that are reachable over
     links, kept tells whether that is the document's own. Texts without words, null texts and
     null ids are linked with nothing (a null id keeps a null component and is kept). Rows of
     equal sets are one node of the graph; rows that share a doc_id each get their own result.
+    group tells components apart also where they share their smallest doc_id; it is null for
+    rows that are linked with nothing for want of words or an id.
 
     Candidates share an index key (all pairs within THRESHOLD symbols do). Two rounds link each
     node to its nearest of a few centres of its keys, which joins nearly all of a group of
@@ -329,11 +331,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     labels = graph.components(links.unionByName(_exact(shared, sig, sets, labels, percent)))
     docs_of = labels.join(nodes.select(F.col("c").alias("node"), "doc"), "node")
     least = common.written(docs_of.groupBy("root").agg(F.min("doc").alias("least")))
-    mine = docs_of.join(least, "root").select("node", "least")
-    final = common.written(nodes.select(F.col("c").alias("node"), "doc").join(mine, "node", "left").select("node", F.coalesce("least", "doc").alias("least")))
+    mine = docs_of.join(least, "root").select("node", "least", "root")
+    final = common.written(nodes.select(F.col("c").alias("node"), "doc").join(mine, "node", "left").select("node", F.coalesce("least", "doc").alias("least"), F.coalesce("root", "node").alias("group")))
     out = base.select("doc_id", "rk", "n_shingles", "c").join(final, F.col("c") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "rk", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "rk", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
 
 
 def op4_minhash_neardup(spark, sf_dir):

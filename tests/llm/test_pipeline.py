@@ -62,3 +62,15 @@ def test_registered(spark):
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names) and set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_one_row_of_a_group_stays(spark, tmp_path):
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(base[:-k] + [f"x{k}"] * k) for k in (1, 2, 3)]
+    other = " ".join(f"y{i}" for i in range(120))
+    rows = [(1, near[0]), (1, near[1]), (2, near[2]), (1, other), (3, other + " z"), (4, None), (4, "")] + [(None, near[0]), (None, near[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in rows_of(P.drop_near_duplicates(spark, docs, str(tmp_path)))]
+    keys = {r["text"]: r["rk"] for r in rows_of(docs.where("doc_id = 1").select("text", common.row_key().alias("rk")))}
+    first = min(near[:2], key=keys.get)
+    assert sorted(got, key=str) == sorted([(1, first), (1, other), (4, None), (4, ""), (None, near[0]), (None, near[1])], key=str)
