@@ -17,6 +17,7 @@ from pinwall.functions.constants import CONFUSION_COSTS, DIGIT_LETTERS, MERGE_CO
 
 _COST = {pair: cost for key, cost in CONFUSION_COSTS.items() for pair in (key, key[::-1])}
 _MERGE = [(a, b, cost) for pair, cost in MERGE_COSTS.items() for a, b in (pair, pair[::-1])]
+_REACH = max(2, *(len(a) for a, _, _ in _MERGE))
 
 
 @lru_cache(maxsize=1 << 16)
@@ -74,30 +75,27 @@ def reading_cost(a: str, b: str) -> float:
     """How dearly a reader would take a for b: confusable characters, swaps and merged pairs are cheap."""
     a, b = (unicodedata.normalize("NFKC", s).lower() for s in (a, b))
 
-    @lru_cache(maxsize=None)
-    def cost(i: int, j: int) -> float:
-        """Of the first i characters of a against the first j of b."""
-        if not i and not j:
-            return 0.0
-        ways = []
-        if i:
-            ways.append(cost(i - 1, j) + 0.85)
-        if j:
-            ways.append(cost(i, j - 1) + 0.85)
-        if i and j:
-            x, y = a[i - 1], b[j - 1]
-            ways.append(cost(i - 1, j - 1) + (0.0 if x == y else _COST.get(x + y, 1.0)))
-        if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
-            ways.append(cost(i - 2, j - 2) + 0.45)
-        for x, y, c in _MERGE:
-            if a.endswith(x, 0, i) and b.endswith(y, 0, j):
-                ways.append(cost(i - len(x), j - len(y)) + c)
-        return min(ways)
-
-    if len(a) + len(b) > 400:
-        # recursion is for words; whole texts are compared by the plain distance
-        return float(osa(a, b))
-    return cost(len(a), len(b))
+    # rows of the table, the last as many as a way may reach back; now[j] is the cost of the first i characters of a against the first j of b
+    rows: list[list[float]] = []
+    for i in range(len(a) + 1):
+        now: list[float] = []
+        for j in range(len(b) + 1):
+            ways = [] if i or j else [0.0]
+            if i:
+                ways.append(rows[-1][j] + 0.85)
+            if j:
+                ways.append(now[j - 1] + 0.85)
+            if i and j:
+                x, y = a[i - 1], b[j - 1]
+                ways.append(rows[-1][j - 1] + (0.0 if x == y else _COST.get(x + y, 1.0)))
+            if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                ways.append(rows[-2][j - 2] + 0.45)
+            for x, y, c in _MERGE:
+                if a.endswith(x, 0, i) and b.endswith(y, 0, j):
+                    ways.append(rows[-len(x)][j - len(y)] + c)
+            now.append(min(ways))
+        rows = [*rows, now][-_REACH:]
+    return rows[-1][-1]
 
 
 def digit_variants(word: str, limit: int = 32) -> list[str]:
