@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,30 +22,121 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def word_runs(data: bytes, step: int, overlap: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, words): runs of `step` words that overlap by `overlap`, so that a long text's words are never all alive at once."""
+    at, head = 0, []
+    while True:
+        got = data.split(None, step)
+        data = got.pop() if len(got) > step else b""
+        head += got
+        if not data:
+            if at == 0 or len(head) > overlap:
+                yield at, head
+            return
+        yield at, head
+        at += len(head) - overlap
+        head = head[len(head) - overlap :]
+
+
+class Remembered(dict):
+    """word -> make(word), for the words seen lately: two generations of up to `limit` words, so that frequent words outlive rare ones."""
+
+    def __init__(self, make: Callable, limit: int = 60_000):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, word):
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Tells rows apart that share a doc_id but not a text; equal rows may share all that is derived from them."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """16 bytes that tell rows apart that share a doc_id but not a text; equal rows may share all that is derived from them."""
+    key = F.col(doc_id).cast("string")
+    known = F.coalesce(F.concat(F.length(key), F.lit(":"), key), F.lit("-"))
+    return F.unhex(F.md5(F.concat(known, F.coalesce(F.concat(F.lit("+"), F.col(text).cast("string")), F.lit("-")))))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pinwall-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+#: One folder for each driver process, below the shared one.
+_RUN = uuid.uuid4().hex
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables of written() go when the driver ends; what a lost driver leaves is below pinwall/ in the shared folder."""
+    for folder, spark in _FOLDERS.items():
+        try:
+            _delete(spark, folder)
+        except Exception:  # noqa: BLE001 - the session may have been stopped already
+            pass
+
+
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pinwall/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/pinwall/{_RUN}"
+    _FOLDERS[folder] = spark
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for df in frames:
+        path = vars(df).pop("written_at", None) if df is not None else None
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def release() -> None:
+    """Hands memory that a worker no longer uses back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow that releases the worker's memory when a task ends."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(released, schema)
 
 
 def over_rows(
@@ -67,4 +160,4 @@ def over_rows(
                 made = each({n: piece.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

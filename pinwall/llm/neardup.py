@@ -31,7 +31,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """word -> 64-bit hash; remembers up to `limit` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -94,7 +94,9 @@ def signatures(docs: DataFrame, words: int = WORDS, text: str = "text", key: str
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), common.row_key(key, text).alias("rk"), F.col(text).cast("string").alias("text"))
     names = ["doc_id", "rk", "n_shingles", "c", *_SIG]
-    return common.over_rows(rows, ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]), make)
+    kind = {"rk": ("binary", pa.binary())}
+    schema = [(n, *kind.get(n, ("long", pa.int64()))) for n in names]
+    return common.over_rows(rows, ", ".join(f"{n} {k}" for n, k, _ in schema), pa.schema([(n, t) for n, _, t in schema]), make)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, text: str, key: str) -> DataFrame:

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }

@@ -3,38 +3,40 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pinwall.llm import common
-from pinwall.llm.neardup import WordHashes
 
 #: Windows of so many words; they are routed by the least of the hashes of the GRAM-word runs in them.
 WINDOW, GRAM = 35, 8
-#: Bits of the filter of repeated runs that tasks get: its size is fixed, a full one only lets more through.
+#: Bits of the filter of repeated runs that tasks get: its size is fixed; once it is half full, a merge join takes its place.
 FILTER_BITS = 1 << 26
-#: Windows in a piece of text (an offset fits 13 bits); segments in a shard; distinct segments of a run above which they go window by window.
-PIECE, SHARD, HOT = 4096, 1000, 2000
+#: Words looked at together; segments of a shard; occurrences of a run above which its windows are counted before they are dealt.
+STEP, SHARD, HOT = 1 << 16, 400, 256
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
+_PLACE = np.uint64((1 << 20) - 1)
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        for name, b in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            p = np.full(size, b, np.uint64)
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse modulo 2^64."""
+    key = int(base)
+    if key not in _POWERS or len(_POWERS[key][0]) < n:
+        both = []
+        for b in (key, pow(key, -1, 1 << 64)):
+            p = np.full(max(n, 1 << 17), b, np.uint64)
             p[0] = 1
-            _POWERS[name] = np.cumprod(p)
-    return _POWERS["up"], _POWERS["down"]
+            both.append(np.cumprod(p))
+        _POWERS[key] = tuple(both)
+    return _POWERS[key]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,8 +47,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class RunHashes:
     """Hashes of all runs of a word sequence by prefix sums."""
 
-    def __init__(self, words: np.ndarray):
-        up, self.down = _powers(len(words) + 1)
+    def __init__(self, words: np.ndarray, base: np.uint64 = _BASES[0]):
+        up, self.down = _powers(base, len(words) + 1)
         self.sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=self.sums[1:])
 
@@ -58,6 +60,11 @@ class RunHashes:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def both_hashes(words: np.ndarray) -> tuple[RunHashes, RunHashes]:
+    """Two independent run hashes of words given as (n, 2) hashes: together 128 bits."""
+    return RunHashes(words[:, 0], _BASES[0]), RunHashes(words[:, 1], _BASES[1])
+
+
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     """op (minimum or maximum) over all runs of `width`, by doubling."""
     m, have = x, 1
@@ -67,25 +74,70 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(m[:n], m[width - have : width - have + n]) if have < width else m
 
 
-def word_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+class WordTable(dict):
+    """word -> place in a table of 128-bit hashes; starts anew between blocks once it holds `limit` words."""
+
+    def __init__(self, limit: int = 100_000):
+        super().__init__()
+        self.limit, self.fresh, self.table = limit, [], np.empty((1 << 12, 2), np.uint64)
 
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(xxhash.xxh3_128_digest(word))
+        at = self[word] = len(self)
+        return at
 
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that are least in some run of `width`."""
-    least = sliding(np.minimum, grams, width)
-    pad = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(sliding(np.maximum, np.concatenate([pad, least, pad]), width) == grams)
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """(n, 2) 64-bit numbers."""
+        if len(self) >= self.limit:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            n, old = len(self), len(self) - len(self.fresh)
+            if n > len(self.table):
+                self.table = np.concatenate([self.table[:old], np.empty((2 * n - old, 2), np.uint64)])
+            self.table[old:n] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
+            self.fresh.clear()
+        return self.table[at]
 
 
-def segments(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of runs of windows that share their leftmost least gram: every window is in one segment, and equal windows have equal hashes."""
-    order = np.argsort(grams, kind="stable")
-    rank = np.empty(len(grams), np.int64)
-    rank[order] = np.arange(len(grams))
-    owner = order[sliding(np.minimum, rank, width)]
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    return grams[owner[first]], first, np.append(first[1:], len(owner)) - 1
+def blocks(items: Iterable[tuple], window: int, step: int = STEP) -> Iterator[tuple[list[bytes], np.ndarray, list[tuple]]]:
+    """(words, begin, tags) of items (tag, data): words of about `step` words together, begin where each stretch of a text begins among them, tags its (tag, place in the text).
+
+    A long text comes in stretches that overlap, so that each of its windows is in one of them; texts shorter than a window are left out.
+    """
+    words, begin, tags = [], [], []
+    for tag, data in items:
+        for at, run in common.word_runs(data, step, window - 1):
+            if len(run) < window:
+                continue
+            begin.append(len(words))
+            tags.append((tag, at))
+            words += run
+            if len(words) >= step:
+                yield words, np.array(begin), tags
+                words, begin, tags = [], [], []
+    if words:
+        yield words, np.array(begin), tags
+
+
+def window_starts(n: int, begin: np.ndarray, window: int) -> np.ndarray:
+    """Places of the windows that lie within one stretch."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[begin[1:] - window + 1] = 1
+    edge[begin[1:]] -= 1
+    return np.flatnonzero(np.cumsum(edge[: n - window + 1]) == 0)
+
+
+def segments(grams: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of runs of windows that share their least gram: every window of a stretch is in one segment, and equal windows have equal hashes.
+
+    Grams are compared by their upper 44 bits and then by place: that depends on nothing but the window's own words.
+    """
+    starts = window_starts(len(grams) + GRAM - 1, begin, window)
+    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+    owner = (sliding(np.minimum, packed, window - GRAM + 1) & _PLACE).astype(np.int64)[starts]
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    return grams[owner[new]], starts[new], starts[np.append(new[1:], len(starts)) - 1]
 
 
 class SuffixAutomaton:
@@ -157,20 +209,31 @@ class SuffixAutomaton:
         return out
 
 
-def _scan(docs: DataFrame, schema: str, out: pa.Schema, each) -> DataFrame:
-    """mapInArrow of (rk, text): each(rk, words, hashes) yields tuples of `schema`."""
+def _items(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[bytes, bytes]]:
+    """(first column, text as UTF-8) of batches of (rk, text)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if t:
+                    yield rk, t.encode("utf-8", "surrogatepass")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [row for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in each(rk, common.words_of(t), hashes)]
-                if made:
-                    cols = list(zip(*made))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c[0], np.ndarray) else pa.array(np.concatenate(c).view(np.int64)) for c, f in zip(cols, out)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    made = [c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema)], schema=schema)
+
+
+def _runs(rows: DataFrame, window: int, step: int) -> DataFrame:
+    """h: the routing hash of every segment of rows (rk, text)."""
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches):
+        table = WordTable()
+        for words, begin, _ in blocks(_items(batches), window, step):
+            yield _batch(schema, segments(RunHashes(table.hashes(words)[:, 0]).fixed(GRAM), begin, window)[0])
+
+    return common.map_batches(rows, run, "h long")
 
 
 def _filter_bits(repeated: DataFrame) -> np.ndarray:
@@ -185,188 +248,201 @@ def _filter_bits(repeated: DataFrame) -> np.ndarray:
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(FILTER_BITS - 1)
+    slot = h & np.uint64(64 * len(bits) - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _pieces(rows: DataFrame, window: int, bits) -> DataFrame:
-    """rid, rk, start, words, segs: runs of windows whose routing hash passes the filter, cut between segments to at most PIECE windows.
-
-    segs lists the piece's segments: h, sh (hash of the segment's words), off (in the piece), n (windows).
-    """
-    width = window - GRAM + 1
-    listed = pa.list_(pa.int64())
-    schema = pa.schema([("rid", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("h", listed), ("sh", listed), ("off", listed), ("n", listed)])
-
-    def of_text(rk, words, hashes, rid):
-        if len(words) < window:
-            return
-        runs = RunHashes(word_hashes(words, hashes))
-        h, first, last = segments(runs.fixed(GRAM), width)
-        fine = _passes(bits.value, h)
-        if not fine.any():
-            return
-        h, first, last = h[fine], first[fine], last[fine]
-        sh = runs.spans(first, last + window)
-        new = np.concatenate([[True], first[1:] != last[:-1] + 1])
-        begin = first[np.flatnonzero(new)][np.cumsum(new) - 1]
-        # a segment has at most `width` windows, so those that begin within the step end within the piece
-        part = (first - begin) // max(1, PIECE - width)
-        cut = np.flatnonzero(np.concatenate([[True], new[1:] | (part[1:] != part[:-1])]))
-        for i, j in zip(cut.tolist(), np.append(cut[1:], len(h)).tolist()):
-            s, e = int(first[i]), int(last[j - 1])
-            yield rid[0], rk, s, b" ".join(words[s : e + window]), h[i:j].view(np.int64), sh[i:j].view(np.int64), first[i:j] - s, last[i:j] - first[i:j] + 1
-            rid[0] += 1
+def _segment_rows(rows: DataFrame, window: int, bits, step: int = STEP) -> DataFrame:
+    """rk, first (word of the text), n (windows), h, s1, s2 (the segment's own 128 bits), words: segments whose routing hash passes the filter."""
+    schema = pa.schema([("rk", pa.binary()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
-        hashes, rid = WordHashes(), [TaskContext.get().partitionId() << 26]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [row for rk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for row in of_text(rk, common.words_of(t), hashes, rid)]
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
-
-    made = rows.mapInArrow(run, "rid long, rk long, start long, words binary, h array<long>, sh array<long>, off array<long>, n array<long>")
-    return made.select("rid", "rk", "start", "words", F.arrays_zip("h", "sh", "off", "n").alias("segs"))
+        table = WordTable()
+        for words, begin, tags in blocks(_items(batches), window, step):
+            one, two = both_hashes(table.hashes(words))
+            h, first, last = segments(one.fixed(GRAM), begin, window)
+            if bits is not None:
+                fine = _passes(bits.value, h)
+                h, first, last = h[fine], first[fine], last[fine]
+            if not len(h):
+                continue
+            end = last + window
+            which = np.searchsorted(begin, first, side="right") - 1
+            place = first - begin[which] + np.array([at for _, at in tags])[which]
+            text = [b" ".join(words[i:j]) for i, j in zip(first.tolist(), end.tolist())]
+            yield _batch(schema, [tags[i][0] for i in which.tolist()], place, last - first + 1, h, one.spans(first, end), two.spans(first, end), text)
+
+    return common.map_batches(rows, run, "rk binary, first int, n int, h long, s1 long, s2 long, words binary")
+
+
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """s1, s2, k, i, w1, w2 (the window's 128 bits): every window of segments (s1, s2, k, words)."""
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("i", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
+    def run(batches):
+        table = WordTable()
+        items = (((s1, s2, k), words) for b in batches for s1, s2, k, words in zip(*(c.to_pylist() for c in b.columns)))
+        for words, begin, tags in blocks(items, window):
+            one, two = both_hashes(table.hashes(words))
+            starts = window_starts(len(words), begin, window)
+            which = np.searchsorted(begin, starts, side="right") - 1
+            s1, s2, k = (np.array([t[0][c] for t in tags], np.int64)[which] for c in range(3))
+            yield _batch(schema, s1, s2, k, starts - begin[which], one.fixed(window)[starts], two.fixed(window)[starts])
 
-def _segment_rows(pieces: DataFrame) -> DataFrame:
-    """h, sh, at (piece * 8192 + offset), n: all segments of all pieces."""
-    rows = pieces.select("rid", F.explode("segs").alias("s"))
-    return rows.select("s.h", "s.sh", (F.col("rid") * 8192 + F.col("s.off")).alias("at"), "s.n")
+    return common.map_batches(rows, run, "s1 long, s2 long, k long, i int, w1 long, w2 long")
 
 
-def _dealt(rows: DataFrame, shards: int, window: int) -> DataFrame:
-    """shard, sh, i, k, words: of rows (words, segs) each segment, or each window of it if its run is hot."""
-    schema = pa.schema([("shard", pa.int64()), ("sh", pa.int64()), ("i", pa.int32()), ("k", pa.int64()), ("words", pa.binary())])
+def _stretches(rows: DataFrame, window: int) -> DataFrame:
+    """s1, s2, i, words: of segments (s1, s2, words, places) the stretches that their windows at `places` cover."""
+    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("i", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             made = []
-            for text, segs in zip(batch.column(0), batch.column(1)):
-                words, full = text.as_py().split(), None
-                for s in segs.as_py():
-                    off, n, k = s["off"], s["n"], s["k"]
-                    if not s["hot"]:
-                        made.append((s["h"] % shards, s["sh"], 0, k, b" ".join(words[off : off + n + window - 1])))
-                    else:
-                        if full is None:
-                            full = RunHashes(word_hashes(words, hashes)).fixed(window)
-                        made += [(int(full[off + i]) % shards, s["sh"], i, k, b" ".join(words[off + i : off + i + window])) for i in range(n)]
-                if len(made) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
-                    made = []
+            for s1, s2, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                words, places = text.split(), sorted(places)
+                cuts = [0, *(j for j in range(1, len(places)) if places[j] != places[j - 1] + 1), len(places)]
+                made += [(s1, s2, places[a], b" ".join(words[places[a] : places[b - 1] + window])) for a, b in zip(cuts, cuts[1:])]
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), schema)], schema=schema)
+                yield _batch(schema, *zip(*made))
 
-    return rows.mapInArrow(run, "shard long, sh long, i int, k long, words binary")
+    return common.map_batches(rows, run, "s1 long, s2 long, i int, words binary")
 
 
 def _matched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard: sh and a mask of the segment's windows that occur twice or more."""
-    schema = pa.schema([("sh", pa.int64()), ("mask", pa.int64())])
+    """Rows (shard, hot, s1, s2, i, k, words) sorted by shard: hot, s1, s2 and a mask of the segment's windows that occur twice or more."""
+    schema = pa.schema([("hot", pa.bool_()), ("s1", pa.int64()), ("s2", pa.int64()), ("mask", pa.int64())])
 
     def flush(rows):
         sam, ids, seqs = SuffixAutomaton(), {}, []
-        for sh, i, k, text in rows:
+        for *tag, i, k, text in rows:
             seq = [ids.setdefault(w, len(ids)) for w in text.split()]
-            seqs.append((sh, i, seq))
+            seqs.append((tag, i, seq))
             # two copies tell all that more copies would
             sam.add(seq, min(k, 2))
         sam.seal()
         out = []
-        for sh, i, seq in seqs:
+        for tag, i, seq in seqs:
             mask = 0
             for s in sam.repeated(seq, window):
                 mask |= 1 << (s + i)
             if mask:
-                out.append((sh, mask))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], schema=schema)
+                out.append((*tag, mask))
+        return _batch(schema, *zip(*out)) if out else None
 
     shard, rows = None, []
     for batch in batches:
-        for s, sh, i, k, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for s, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if s != shard and rows:
-                yield flush(rows)
+                if made := flush(rows):
+                    yield made
                 rows = []
             shard = s
-            rows.append((sh, i, k, text))
-    if rows:
-        yield flush(rows)
+            rows.append(row)
+    if rows and (made := flush(rows)):
+        yield made
 
 
-def _remover(window: int):
+def _remover(window: int, with_text: bool, step: int) -> Callable[..., Column]:
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string, kept_text string")
-    def cut(text: pd.Series, marks: pd.Series, want: pd.Series) -> pd.DataFrame:
+    def cut(text: pd.Series, firsts: pd.Series, masks: pd.Series) -> pd.DataFrame:
         out = []
-        for t, m, w in zip(text, marks, want):
-            words = common.words_of(t)
-            edge = np.zeros(len(words) + 1, np.int64)
-            for piece in m if m is not None else ():
-                for seg in piece["segs"]:
-                    for i in range(seg["n"]):
-                        if seg["mask"] >> i & 1:
-                            start = piece["start"] + seg["off"] + i
-                            edge[start] += 1
-                            edge[start + window] -= 1
-            gone = np.cumsum(edge)[:-1] > 0
-            kept = b" ".join(x for x, g in zip(words, gone.tolist()) if not g) if gone.any() else b" ".join(words)
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if w else None))
+        for t, first, mask in zip(text, firsts, masks):
+            data = t.encode("utf-8", "surrogatepass") if t else b""
+            starts = np.zeros(0, np.int64)
+            if first is not None:
+                first, mask = np.asarray(first, np.int64), np.asarray(mask, np.int64)
+                starts = np.concatenate([first[mask >> i & 1 > 0] + i for i in range(window - GRAM + 1)])
+            edge = np.zeros(int(starts.max()) + window + 1 if len(starts) else 0, np.int64)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
+            gone = np.cumsum(edge) > 0
+            n, digest, kept = 0, hashlib.sha256(), []
+            for at, words in common.word_runs(data, step, 0):
+                n = at + len(words)
+                here = gone[at:n]
+                if here.any():
+                    words = [w for w, g in zip(words, here.tolist()) if not g] + words[len(here) :]
+                if words:
+                    piece = (b" " if kept else b"") + b" ".join(words)
+                    digest.update(piece)
+                    kept.append(piece if with_text else b"")
+            out.append((n, int(gone.sum()), digest.hexdigest(), b"".join(kept).decode("utf-8", "surrogatepass") if with_text else None))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return cut
 
 
+def _hot_windows(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(windows, repeated) of the segments of hot runs: all of their windows, and of those that occur twice or more one row each: w1, w2 and the place (s1, s2, i) that stands for it."""
+    windows = common.written(_windows(distinct.where("hot").select("s1", "s2", "k", "words"), window))
+    counted = windows.groupBy("w1", "w2").agg(F.sum("k").alias("k"), F.min(F.struct("s1", "s2", "i")).alias("at")).where("k > 1")
+    return windows, common.written(counted.select("w1", "w2", "at.*"))
+
+
+def repeated_windows(rows: DataFrame, window: int = WINDOW, step: int | None = None) -> DataFrame:
+    """rk, first, mask: of rows (rk, text) the segments that hold repeated windows; bit i of mask stands for the window that begins at word first + i."""
+    spark, step = rows.sparkSession, step or STEP
+    runs = common.written(_runs(rows, window, step).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    if runs.count() <= FILTER_BITS // 2:
+        bits = spark.sparkContext.broadcast(_filter_bits(runs))
+        segs = _segment_rows(rows, window, bits, step)
+    else:
+        segs = _segment_rows(rows, window, None, step).join(runs.select("h").hint("merge"), "h", "left_semi")
+    segs = common.written(segs, compression="zstd")
+    distinct = segs.groupBy("h", "s1", "s2", "n").agg(F.count(F.lit(1)).alias("k"), F.first("words").alias("words"))
+    hot = runs.where(F.col("k") > HOT).select("h", F.lit(True).alias("hot"))
+    distinct = common.written(distinct.join(hot, "h", "left").withColumn("hot", F.col("hot").isNotNull()), compression="zstd")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(4 * parts, -(-distinct.count() // SHARD))
+    dealt = distinct.where("not hot").select(F.pmod("h", F.lit(shards)).alias("shard"), "hot", "s1", "s2", F.lit(0).alias("i"), "k", "words")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        windows, repeated = _hot_windows(distinct, window)
+        places = repeated.groupBy("s1", "s2").agg(F.collect_list("i").alias("places"))
+        stretches = _stretches(distinct.where("hot").select("s1", "s2", "words").join(places, ["s1", "s2"]), window)
+        # each stands for two occurrences or more
+        dealt = dealt.unionByName(stretches.select(F.pmod("s1", F.lit(shards)).alias("shard"), F.lit(True).alias("hot"), "s1", "s2", "i", F.lit(2).cast("long").alias("k"), "words"))
+    dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
+    found = common.map_batches(dealt, lambda b: _matched(b, window), "hot boolean, s1 long, s2 long, mask long")
+    masks = found.groupBy("hot", "s1", "s2").agg(F.bit_or("mask").alias("mask"))
+    if any_hot:
+        masks = common.written(masks)
+        places = F.expr(f"filter(sequence(0, {window - GRAM}), i -> (mask & shiftleft(1L, i)) <> 0)")
+        confirmed = masks.where("hot").select("s1", "s2", F.explode(places).alias("i")).join(repeated, ["s1", "s2", "i"]).select("w1", "w2")
+        # a window that most segments hold is a frequent key against one row, which Spark splits
+        of_hot = windows.join(confirmed.hint("merge"), ["w1", "w2"]).groupBy("s1", "s2").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+        masks = masks.where("not hot").select("s1", "s2", "mask").unionByName(of_hot)
+    masks = common.written(masks.select("s1", "s2", "mask"))
+    return segs.select("rk", "first", "s1", "s2").join(masks.hint("merge"), ["s1", "s2"]).select("rk", "first", "mask")
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
     """row (a struct of all input columns), n_words, n_removed, kept_sha256, kept_text: one row for each input row.
 
     A word goes if a window of `window` consecutive words that covers it starts anywhere else
     too, in this row or another (equal rows are different places). kept_text has the kept words
     joined by one space (null without with_text). Null, empty and shorter texts lose nothing.
+    A text of any length is looked at in overlapping stretches of STEP words.
 
     Every window belongs to the leftmost of its least GRAM-word runs, so equal windows meet at
     one run's hash. Runs are counted over the corpus; segments of windows whose run is repeated
     are collapsed to distinct ones with multiplicities and routed by run to shards of bounded
     size. A shard's suffix automaton is built in the task to which its segments are sent, which
-    then streams them for their matching statistics: broadcasting every automaton to all
-    documents would cost the square of the corpus. A run with more than HOT distinct segments
-    is routed window by window, so that no run meets in one task. The corpus counts are exact
-    up to collisions of 64-bit hashes; equality of words is the automata's own.
+    then streams them for their matching statistics. A run with more than HOT occurrences has
+    its windows counted by hash first (sums before the shuffle); one stretch for each distinct
+    repeated window is dealt by its own hash, so that no run and no window gathers in one task.
+    Segments and windows are told apart by 128-bit hashes; words are compared by the automata.
     """
     if not GRAM < window < GRAM + 63:
         raise ValueError(f"window must be between {GRAM + 1} and {GRAM + 62} words")
-    spark = docs.sparkSession
     rows = docs.select(common.row_key(key, text).alias("rk"), F.col(text).cast("string").alias("text"))
-    width = window - GRAM + 1
-
-    def runs(rk, words, hashes):
-        if len(words) >= window:
-            grams = RunHashes(word_hashes(words, hashes)).fixed(GRAM)
-            yield (grams[anchors(grams, width)],)
-
-    counted = _scan(rows, "h long", pa.schema([("h", pa.int64())]), runs)
-    bits = spark.sparkContext.broadcast(_filter_bits(counted.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")))
-    pieces = common.written(_pieces(rows, window, bits), compression="zstd")
-    segs = _segment_rows(pieces)
-    distinct = common.written(segs.groupBy("h", "sh", "n").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("at")))
-    often = distinct.groupBy("h").agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    often = common.written(often.select("h", (F.col("kinds") > HOT).alias("hot")))
-    routed = distinct.join(often.hint("merge"), "h")
-    of_piece = routed.groupBy(F.shiftright("at", 13).alias("rid")).agg(F.collect_list(F.struct("h", "sh", F.col("at").bitwiseAND(F.lit(8191)).alias("off"), "n", "k", "hot")).alias("segs"))
-    shards = max(1, -(-distinct.count() // SHARD))
-    dealt = _dealt(pieces.select("rid", "words").join(of_piece.hint("merge"), "rid").select("words", "segs"), shards, window)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(lambda b: _matched(b, window), "sh long, mask long")
-    masks = common.written(found.groupBy("sh").agg(F.bit_or("mask").alias("mask")))
-    hits = segs.select("sh", "at", "n").join(masks.hint("merge"), "sh")
-    hits = hits.groupBy(F.shiftright("at", 13).alias("rid")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(F.lit(8191)).alias("off"), "n", "mask")).alias("segs"))
-    marks = pieces.select("rid", "rk", "start").join(hits.hint("merge"), "rid").groupBy("rk").agg(F.collect_list(F.struct("start", "segs")).alias("marks"))
-    marks = common.written(marks)
+    # equal rows have equal marks; one of them is enough, however often the row is repeated
+    marks = repeated_windows(rows, window).distinct().groupBy("rk").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
+    marks = marks.select("rk", F.col("marks.first").alias("firsts"), F.col("marks.mask").alias("masks"))
     full = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key(key, text).alias("rk"))
-    cut = _remover(window)(F.col(f"row.`{text}`").cast("string"), F.col("marks"), F.lit(with_text))
-    out = full.join(marks.hint("merge"), "rk", "left").select("row", cut.alias("cut"))
+    cut = _remover(window, with_text, STEP)(F.col(f"row.`{text}`").cast("string"), F.col("firsts"), F.col("masks"))
+    out = full.join(common.written(marks).hint("merge"), "rk", "left").select("row", cut.alias("cut"))
     return out.select("row", "cut.n_words", "cut.n_removed", "cut.kept_sha256", "cut.kept_text")
 
 
@@ -374,3 +450,16 @@ def op3_substring_dedup(spark, sf_dir):
     """Words of `documents` outside repeated windows of 35 words."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup(docs, with_text=False).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, pos, md5(array_to_string(ws[pos : pos + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS pos FROM d WHERE len(ws) >= 35)),
+r AS (SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS i FROM r),
+l AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+k AS (SELECT l.doc_id, count(*) AS n_words, count(c.i) AS n_removed, string_agg(l.word, ' ' ORDER BY l.i) FILTER (WHERE c.i IS NULL) AS kept
+      FROM l LEFT JOIN c ON l.doc_id = c.doc_id AND l.i = c.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

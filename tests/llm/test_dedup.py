@@ -7,8 +7,10 @@ import random
 import numpy as np
 import pytest
 from conftest import rows_of
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from pinwall.llm import graph, line_dedup, neardup, substring_dedup
+from pinwall.llm import common, graph, line_dedup, neardup, substring_dedup
 
 
 def plain_lines(rows):
@@ -43,10 +45,12 @@ def plain_substrings(rows, w):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
-def test_substrings_against_plain(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, step, bits", [(256, 1 << 16, 1 << 26), (1, 1 << 16, 1 << 26), (2, 300, 64)])
+def test_substrings_against_plain(docs, monkeypatch, hot, step, bits):
+    """Few and many occurrences a run; long texts in stretches; a filter that is full at once."""
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "PIECE", 64)
+    monkeypatch.setattr(substring_dedup, "STEP", step)
+    monkeypatch.setattr(substring_dedup, "FILTER_BITS", bits)
     got = rows_of(substring_dedup.substring_dedup(docs))
     assert sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_substrings(rows_of(docs), 35)
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
@@ -79,11 +83,38 @@ def test_suffix_automaton_counts():
 
 def test_segments_partition_windows():
     rng = np.random.default_rng(5)
-    for n in (35, 36, 100, 300):
-        grams = rng.integers(0, 9 if n == 100 else 1 << 60, n - 7).astype(np.uint64)
-        h, first, last = substring_dedup.segments(grams, 28)
-        assert first[0] == 0 and last[-1] == n - 35 and (first[1:] == last[:-1] + 1).all() and (last - first < 28).all()
-        assert set(h.tolist()) <= set(grams[substring_dedup.anchors(grams, 28)].tolist())
+    for sizes in ([35], [36, 35, 400], [100, 300, 41]):
+        n, begin = sum(sizes), np.cumsum([0, *sizes[:-1]])
+        grams = rng.integers(0, 9 if 100 in sizes else 1 << 60, n - 7).astype(np.uint64) << np.uint64(22)
+        h, first, last = substring_dedup.segments(grams, begin, 35)
+        windows = [s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)]
+        assert windows == [b + s for b, k in zip(begin.tolist(), sizes) for s in range(k - 34)] and (last - first < 28).all()
+        assert all(x == grams[a : a + 28].min() for x, a in zip(h, first))
+
+
+def test_word_runs():
+    rng = random.Random(4)
+    for n in (0, 1, 7, 8, 9, 50):
+        words = [b"w%d" % rng.randint(0, 9) for _ in range(n)]
+        data = b" \n".join(words) + b" \t"
+        for step, overlap in ((4, 0), (5, 3), (100, 34)):
+            got = list(common.word_runs(data, step, overlap))
+            assert all(r == words[at : at + len(r)] for at, r in got) and sum(len(r) for _, r in got) - overlap * (len(got) - 1) == n
+            assert max(len(r) for _, r in got) <= step + overlap
+
+
+def test_one_passage_in_many_documents(spark):
+    """A window that every document holds is one row where it is decided."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    docs = spark.range(3000).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, 40), i -> concat('a', id, '_', i)), '{passage}', transform(sequence(1, 40), i -> concat('b', id, '_', i))) as text")
+    got = rows_of(substring_dedup.substring_dedup(docs).groupBy("n_words", "n_removed").count())
+    assert [(r["n_words"], r["n_removed"], r["count"]) for r in got] == [(150, 70, 3000)]
+    rows = docs.select(common.row_key().alias("rk"), "text")
+    segs = substring_dedup._segment_rows(rows, 35, None)
+    distinct = segs.groupBy("h", "s1", "s2", "n").agg(F.count(F.lit(1)).alias("k"), F.first("words").alias("words"))
+    hot = distinct.withColumn("total", F.sum("k").over(Window.partitionBy("h"))).withColumn("hot", F.col("total") > substring_dedup.HOT)
+    windows, repeated = substring_dedup._hot_windows(hot, 35)
+    assert windows.count() > 3000 and repeated.count() == 36
 
 
 def plain_components(rows, n, percent):
