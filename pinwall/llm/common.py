@@ -6,15 +6,19 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but space, tab, LF, VT, FF and CR.
 #: bytes.split() separates at exactly these six bytes.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
+#: Words that are looked at together.
+STEP = 1 << 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,22 +42,58 @@ def word_runs(data: bytes, step: int, overlap: int) -> Iterator[tuple[int, list[
         head = head[len(head) - overlap :]
 
 
-class Remembered(dict):
-    """word -> make(word), for the words seen lately: two generations of up to `limit` words, so that frequent words outlive rare ones."""
+class WordTable(dict):
+    """word -> place in a table of 128-bit hashes; starts anew between blocks once it holds `limit` words."""
 
-    def __init__(self, make: Callable, limit: int = 60_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.limit, self.fresh, self.table = limit, [], np.empty((1 << 12, 2), np.uint64)
 
-    def __missing__(self, word):
-        got = self.older.get(word)
-        if got is None:
-            got = self.make(word)
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(xxhash.xxh3_128_digest(word))
+        at = self[word] = len(self)
+        return at
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """(n, 2) 64-bit numbers."""
         if len(self) >= self.limit:
-            self.older = dict(self)
             self.clear()
-        self[word] = got
-        return got
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.fresh:
+            n, old = len(self), len(self) - len(self.fresh)
+            if n > len(self.table):
+                self.table = np.concatenate([self.table[:old], np.empty((2 * n - old, 2), np.uint64)])
+            self.table[old:n] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
+            self.fresh.clear()
+        return self.table[at]
+
+
+def blocks(items: Iterable[tuple], window: int, step: int = STEP) -> Iterator[tuple[list[bytes], np.ndarray, list[tuple]]]:
+    """(words, begin, tags) of items (tag, data): words of about `step` words together, begin where each stretch of a text begins among them, tags its (tag, place in the text).
+
+    A long text comes in stretches that overlap, so that each of its windows is in one of them; texts shorter than a window are left out.
+    """
+    words, begin, tags = [], [], []
+    for tag, data in items:
+        for at, run in common.word_runs(data, step, window - 1):
+            if len(run) < window:
+                continue
+            begin.append(len(words))
+            tags.append((tag, at))
+            words += run
+            if len(words) >= step:
+                yield words, np.array(begin), tags
+                words, begin, tags = [], [], []
+    if words:
+        yield words, np.array(begin), tags
+
+
+def window_starts(n: int, begin: np.ndarray, window: int) -> np.ndarray:
+    """Places of the windows that lie within one stretch."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[begin[1:] - window + 1] = 1
+    edge[begin[1:]] -= 1
+    return np.flatnonzero(np.cumsum(edge[: n - window + 1]) == 0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

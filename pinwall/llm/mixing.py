@@ -13,8 +13,9 @@ WEIGHTS = (5, 2, 1)
 RATIO, EPOCHS = 1.5, 2
 #: Characters that lower a document's quality weight.
 SYMBOLS = "0123456789#$%&*+/<=>@\\^_`{|}~"
-#: A source's keys are cut into ranges of about so many documents; one range per source is sorted.
-RANGE_ROWS = 4096
+#: Sampling keys have places of PLACE_BITS bits; places are looked at DIGIT_BITS at a time until the range of a source
+#: in which its budget ends holds at most RANGE_ROWS documents, which are sorted.
+PLACE_BITS, DIGIT_BITS, RANGE_ROWS = 48, 12, 4096
 #: Up to so many sources (a row of seven numbers each), their parameters are broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -31,22 +32,22 @@ def quality_weight(text: str) -> Column:
     return F.greatest(share * share, F.lit(0.25))
 
 
-def sampling_key(key: str, weight: Column) -> Column:
-    """-ln(u) / weight, u from the MD5 of the document's key: small keys are drawn first, and reruns draw the same."""
-    digits = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 12)
-    u = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
+def sampling_key(digest: Column, weight: Column) -> Column:
+    """-ln(u) / weight, u from the first 48 bits of a row key: small keys are drawn first, and reruns draw the same."""
+    u = (F.conv(F.substring(F.hex(digest), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
     return -F.log(u) / weight
 
 
 def scored(docs: DataFrame, keep: Column, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """kept (what the caller wants to keep of a row), source, size, skey, rk: one narrow pass over the texts."""
-    return docs.select(
+    """kept (what the caller wants to keep of a row), source, size, weight, rk, skey: one narrow pass over the texts, for common.written."""
+    rows = docs.select(
         keep.alias("kept"),
         F.col(source).cast("string").alias("source"),
         word_count(text).alias("size"),
-        sampling_key(key, quality_weight(text)).alias("skey"),
+        quality_weight(text).alias("weight"),
         common.row_key(key, text).alias("rk"),
     )
+    return rows.withColumn("skey", sampling_key(F.col("rk"), F.col("weight"))).drop("weight")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, epochs: int = EPOCHS) -> DataFrame:
@@ -85,8 +86,28 @@ def _with(rows: DataFrame, params: DataFrame, small: bool, on: list[str]) -> Dat
     return rows.join(F.broadcast(params) if small else params, match).drop(*(f"p_{c}" for c in on))
 
 
+def _crossing_ranges(keys: DataFrame, params: DataFrame, small: bool) -> tuple[DataFrame, int]:
+    """(source, lo, rest, n; bits): of each source the range of 2^bits places from lo in which its budget runs out, what is left for it there, and its documents.
+
+    Radix selection: words are summed by source and digit, the digit where the sum passes the
+    budget is looked into again. The quality weights bend the keys' distribution as they like.
+    """
+    at = params.where("left > 0").select("source", F.lit(0).cast("long").alias("lo"), F.col("left").alias("rest"), "n")
+    bits = PLACE_BITS
+    while bits and not at.where(F.col("n") > RANGE_ROWS).isEmpty():
+        size, bits = 1 << bits, bits - min(bits, DIGIT_BITS)
+        rows = _with(keys, at.drop("n"), small, ["source"]).where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("lo") + F.lit(size)))
+        digit = F.shiftright(F.col("place") - F.col("lo"), bits)
+        sums = rows.groupBy("source", "lo", "rest", digit.alias("digit")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        cut = sums.withColumn("upto", F.sum("words").over(upto)).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+        cut = cut.select("source", (F.col("lo") + F.col("digit") * F.lit(1 << bits)).alias("lo"), (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"), "n")
+        at = common.written(cut)
+    return at, bits
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, epochs: int = EPOCHS) -> DataFrame:
-    """kept, source, size, source_size, target, taken for rows of scored().
+    """kept, source, size, source_size, target, taken for rows of common.written(scored()), which are read several times.
 
     A source's target is spent on whole epochs first. What is left goes to its documents in
     order of their sampling keys: those before the crossing document are taken once more, the
@@ -94,26 +115,23 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATI
     are one source, ordered last; documents without words take 0. Rows equal in key and text
     draw alike and split what is left for them evenly (rounded down).
 
-    Only sums by source and by key range, and the documents of one key range a source, are
+    Only sums by source and digit of the keys, and the documents of one key range a source, are
     shuffled, never a whole source: a source that holds most rows costs no task more.
     """
-    spark = rows.sparkSession
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     params = source_targets(sizes, weights, ratio, epochs)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    params = params.select("source", "source_size", "target", full.alias("full"), F.ceil(F.col("n") / RANGE_ROWS).alias("ranges")).withColumn(
+    params = params.select("source", "source_size", "target", "n", full.alias("full")).withColumn(
         "left", F.floor(F.col("target") - F.col("full") * F.col("source_size")).cast("long")
     )
     params = common.written(params)
     small = params.count() <= BROADCAST_SOURCES
-    bin_ = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("skey"))) * F.col("ranges")), F.col("ranges") - 1).cast("long")
-    binned = _with(rows.drop("kept"), params, small, ["source"]).withColumn("bin", bin_)
-    sums = binned.groupBy("source", "bin", "left").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cut = sums.withColumn("upto", F.sum("words").over(upto)).where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("words") < F.col("left")))
-    cut = common.written(cut.select("source", "bin", (F.col("left") - F.col("upto") + F.col("words")).alias("rest")))
+    whole = float(1 << PLACE_BITS)
+    place = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("skey"))) * F.lit(whole)), F.lit((1 << PLACE_BITS) - 1)).cast("long")
+    keys = rows.select("source", "size", "skey", "rk", place.alias("place"))
+    at, bits = _crossing_ranges(keys, params, small)
     # documents of the range in which a source's budget runs out, equal rows as one
-    inside = _with(binned.select("source", "bin", "skey", "rk", "size"), cut, small, ["source", "bin"])
+    inside = _with(keys, at.drop("n"), small, ["source"]).where((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("lo") + F.lit(1 << bits)))
     groups = inside.groupBy("source", "skey", "rk", "size", "rest").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("source").orderBy("skey", "rk").rowsBetween(Window.unboundedPreceding, 0)
     groups = groups.withColumn("words", F.col("size") * F.col("copies")).withColumn("upto", F.sum("words").over(order))
@@ -140,7 +158,7 @@ def op8_mix_sources(spark, sf_dir):
 
 OP8_SQL = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-  -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
+  -ln((('0x' || substr(md5(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce('+' || text, '-')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE)
   / greatest(pow(1 - coalesce(length(text) - length(translate(text, '0123456789#$%&*+/<=>@\\^_`{|}~', '')), 0)::DOUBLE / greatest(length(coalesce(text, '')), 1), 2), 0.25) AS skey
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +17,8 @@ from pinwall.llm import common
 WINDOW, GRAM = 35, 8
 #: Bits of the filter of repeated runs that tasks get: its size is fixed; once it is half full, a merge join takes its place.
 FILTER_BITS = 1 << 26
-#: Words looked at together; segments of a shard; occurrences of a run above which its windows are counted before they are dealt.
-STEP, SHARD, HOT = 1 << 16, 400, 256
+#: Segments of a shard; occurrences of a run above which its windows are counted before they are dealt.
+SHARD, HOT = 400, 256
 
 _PLACE = np.uint64((1 << 20) - 1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -74,66 +73,12 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(m[:n], m[width - have : width - have + n]) if have < width else m
 
 
-class WordTable(dict):
-    """word -> place in a table of 128-bit hashes; starts anew between blocks once it holds `limit` words."""
-
-    def __init__(self, limit: int = 100_000):
-        super().__init__()
-        self.limit, self.fresh, self.table = limit, [], np.empty((1 << 12, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(xxhash.xxh3_128_digest(word))
-        at = self[word] = len(self)
-        return at
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """(n, 2) 64-bit numbers."""
-        if len(self) >= self.limit:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            n, old = len(self), len(self) - len(self.fresh)
-            if n > len(self.table):
-                self.table = np.concatenate([self.table[:old], np.empty((2 * n - old, 2), np.uint64)])
-            self.table[old:n] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
-            self.fresh.clear()
-        return self.table[at]
-
-
-def blocks(items: Iterable[tuple], window: int, step: int = STEP) -> Iterator[tuple[list[bytes], np.ndarray, list[tuple]]]:
-    """(words, begin, tags) of items (tag, data): words of about `step` words together, begin where each stretch of a text begins among them, tags its (tag, place in the text).
-
-    A long text comes in stretches that overlap, so that each of its windows is in one of them; texts shorter than a window are left out.
-    """
-    words, begin, tags = [], [], []
-    for tag, data in items:
-        for at, run in common.word_runs(data, step, window - 1):
-            if len(run) < window:
-                continue
-            begin.append(len(words))
-            tags.append((tag, at))
-            words += run
-            if len(words) >= step:
-                yield words, np.array(begin), tags
-                words, begin, tags = [], [], []
-    if words:
-        yield words, np.array(begin), tags
-
-
-def window_starts(n: int, begin: np.ndarray, window: int) -> np.ndarray:
-    """Places of the windows that lie within one stretch."""
-    edge = np.zeros(n + 1, np.int8)
-    edge[begin[1:] - window + 1] = 1
-    edge[begin[1:]] -= 1
-    return np.flatnonzero(np.cumsum(edge[: n - window + 1]) == 0)
-
-
 def segments(grams: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first, last) of runs of windows that share their least gram: every window of a stretch is in one segment, and equal windows have equal hashes.
 
     Grams are compared by their upper 44 bits and then by place: that depends on nothing but the window's own words.
     """
-    starts = window_starts(len(grams) + GRAM - 1, begin, window)
+    starts = common.window_starts(len(grams) + GRAM - 1, begin, window)
     packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     owner = (sliding(np.minimum, packed, window - GRAM + 1) & _PLACE).astype(np.int64)[starts]
     new = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -229,8 +174,8 @@ def _runs(rows: DataFrame, window: int, step: int) -> DataFrame:
     schema = pa.schema([("h", pa.int64())])
 
     def run(batches):
-        table = WordTable()
-        for words, begin, _ in blocks(_items(batches), window, step):
+        table = common.WordTable()
+        for words, begin, _ in common.blocks(_items(batches), window, step):
             yield _batch(schema, segments(RunHashes(table.hashes(words)[:, 0]).fixed(GRAM), begin, window)[0])
 
     return common.map_batches(rows, run, "h long")
@@ -252,13 +197,13 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _segment_rows(rows: DataFrame, window: int, bits, step: int = STEP) -> DataFrame:
+def _segment_rows(rows: DataFrame, window: int, bits, step: int = common.STEP) -> DataFrame:
     """rk, first (word of the text), n (windows), h, s1, s2 (the segment's own 128 bits), words: segments whose routing hash passes the filter."""
     schema = pa.schema([("rk", pa.binary()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
-        table = WordTable()
-        for words, begin, tags in blocks(_items(batches), window, step):
+        table = common.WordTable()
+        for words, begin, tags in common.blocks(_items(batches), window, step):
             one, two = both_hashes(table.hashes(words))
             h, first, last = segments(one.fixed(GRAM), begin, window)
             if bits is not None:
@@ -280,11 +225,11 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("i", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def run(batches):
-        table = WordTable()
+        table = common.WordTable()
         items = (((s1, s2, k), words) for b in batches for s1, s2, k, words in zip(*(c.to_pylist() for c in b.columns)))
-        for words, begin, tags in blocks(items, window):
+        for words, begin, tags in common.blocks(items, window):
             one, two = both_hashes(table.hashes(words))
-            starts = window_starts(len(words), begin, window)
+            starts = common.window_starts(len(words), begin, window)
             which = np.searchsorted(begin, starts, side="right") - 1
             s1, s2, k = (np.array([t[0][c] for t in tags], np.int64)[which] for c in range(3))
             yield _batch(schema, s1, s2, k, starts - begin[which], one.fixed(window)[starts], two.fixed(window)[starts])
@@ -382,7 +327,7 @@ def _hot_windows(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, step: int | None = None) -> DataFrame:
     """rk, first, mask: of rows (rk, text) the segments that hold repeated windows; bit i of mask stands for the window that begins at word first + i."""
-    spark, step = rows.sparkSession, step or STEP
+    spark, step = rows.sparkSession, step or common.STEP
     runs = common.written(_runs(rows, window, step).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     if runs.count() <= FILTER_BITS // 2:
         bits = spark.sparkContext.broadcast(_filter_bits(runs))
@@ -423,7 +368,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     A word goes if a window of `window` consecutive words that covers it starts anywhere else
     too, in this row or another (equal rows are different places). kept_text has the kept words
     joined by one space (null without with_text). Null, empty and shorter texts lose nothing.
-    A text of any length is looked at in overlapping stretches of STEP words.
+    A text of any length is looked at in overlapping stretches of common.STEP words.
 
     Every window belongs to the leftmost of its least GRAM-word runs, so equal windows meet at
     one run's hash. Runs are counted over the corpus; segments of windows whose run is repeated
@@ -441,7 +386,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     marks = repeated_windows(rows, window).distinct().groupBy("rk").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     marks = marks.select("rk", F.col("marks.first").alias("firsts"), F.col("marks.mask").alias("masks"))
     full = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key(key, text).alias("rk"))
-    cut = _remover(window, with_text, STEP)(F.col(f"row.`{text}`").cast("string"), F.col("firsts"), F.col("masks"))
+    cut = _remover(window, with_text, common.STEP)(F.col(f"row.`{text}`").cast("string"), F.col("firsts"), F.col("masks"))
     out = full.join(common.written(marks).hint("merge"), "rk", "left").select("row", cut.alias("cut"))
     return out.select("row", "cut.n_words", "cut.n_removed", "cut.kept_sha256", "cut.kept_text")
 

@@ -38,7 +38,7 @@ def features(word: str) -> list[int]:
 class _Lookup(dict):
     """word -> value; remembers up to `limit` words. A sentence end has the value `end`."""
 
-    def __init__(self, value, end, limit: int = 500_000):
+    def __init__(self, value, end, limit: int = 200_000):
         super().__init__()
         self.value, self.end, self.limit = value, end, limit
 
@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = common.written(chosen.orderBy(F.xxhash64("k"), "k").limit(limit))
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "k")
     n, toxic = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = rows.select("y", "text").mapInArrow(_counted, "feature long, seen long, hits long")
+    counts = common.map_batches(rows.select("y", "text"), _counted, "feature long, seen long, hits long")
     used = frozenset(r["feature"] for r in significant(counts, n, toxic).collect())
 
     def make():

@@ -49,7 +49,7 @@ def plain_substrings(rows, w):
 def test_substrings_against_plain(docs, monkeypatch, hot, step, bits):
     """Few and many occurrences a run; long texts in stretches; a filter that is full at once."""
     monkeypatch.setattr(substring_dedup, "HOT", hot)
-    monkeypatch.setattr(substring_dedup, "STEP", step)
+    monkeypatch.setattr(common, "STEP", step)
     monkeypatch.setattr(substring_dedup, "FILTER_BITS", bits)
     got = rows_of(substring_dedup.substring_dedup(docs))
     assert sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_substrings(rows_of(docs), 35)

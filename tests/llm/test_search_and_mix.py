@@ -95,6 +95,19 @@ def test_mix_prefers_quality_and_takes_empty_tables(spark, empty):
     assert good > 1.5 * bad > 0
 
 
+@pytest.mark.parametrize("rows_of_a_range, bits", [(1, 3), (7, 12)])
+def test_mix_by_any_ranges(spark, monkeypatch, rows_of_a_range, bits):
+    """However finely a source's keys are looked into, the same documents are taken."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w", "#$%", "9"][rng.randint(0, 2)] for _ in range(rng.randint(0, 30))), ["a", "b", "c", None][i % 4]) for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, source string")
+    key = lambda r: str((r["kept"], r["taken"]))
+    want = sorted(map(key, rows_of(mixing.mix(mixing.scored(df, F.col("doc_id"))))))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows_of_a_range)
+    monkeypatch.setattr(mixing, "DIGIT_BITS", bits)
+    assert sorted(map(key, rows_of(mixing.mix(mixing.scored(df, F.col("doc_id")))))) == want
+
+
 RUDE = ("idiot", "moron", "scum")
 
 
