@@ -75,7 +75,7 @@ def blocks(items: Iterable[tuple], window: int, step: int = STEP) -> Iterator[tu
     """
     words, begin, tags = [], [], []
     for tag, data in items:
-        for at, run in common.word_runs(data, step, window - 1):
+        for at, run in word_runs(data, step, window - 1):
             if len(run) < window:
                 continue
             begin.append(len(words))
