@@ -10,15 +10,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but space, tab, LF, VT, FF and CR.
 #: bytes.split() separates at exactly these six bytes.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
-#: Words that are looked at together.
-STEP = 1 << 16
+#: Bytes of texts that are looked at together.
+STEP = 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,58 +41,141 @@ def word_runs(data: bytes, step: int, overlap: int) -> Iterator[tuple[int, list[
         head = head[len(head) - overlap :]
 
 
-class WordTable(dict):
-    """word -> place in a table of 128-bit hashes; starts anew between blocks once it holds `limit` words."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Random numbers of bytes, and bases of two polynomial hashes modulo 2^64.
+_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, limit: int = 100_000):
-        super().__init__()
-        self.limit, self.fresh, self.table = limit, [], np.empty((1 << 12, 2), np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self.fresh.append(xxhash.xxh3_128_digest(word))
-        at = self[word] = len(self)
-        return at
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64; short blocks share one table."""
+    got = _POWERS.get(which)
+    if got is None or len(got[0]) < n:
+        both = []
+        for b in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            p = np.full(max(n, STEP + 1), b, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p))
+        got = tuple(both)
+        if n <= 4 * STEP:
+            _POWERS[which] = got
+    return got
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        """(n, 2) 64-bit numbers."""
-        if len(self) >= self.limit:
-            self.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            n, old = len(self), len(self) - len(self.fresh)
-            if n > len(self.table):
-                self.table = np.concatenate([self.table[:old], np.empty((2 * n - old, 2), np.uint64)])
-            self.table[old:n] = np.frombuffer(b"".join(self.fresh), np.uint64).reshape(-1, 2)
-            self.fresh.clear()
-        return self.table[at]
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def blocks(items: Iterable[tuple], window: int, step: int = STEP) -> Iterator[tuple[list[bytes], np.ndarray, list[tuple]]]:
-    """(words, begin, tags) of items (tag, data): words of about `step` words together, begin where each stretch of a text begins among them, tags its (tag, place in the text).
 
-    A long text comes in stretches that overlap, so that each of its windows is in one of them; texts shorter than a window are left out.
+class RunHashes:
+    """64-bit hashes of all runs of a sequence of numbers by prefix sums; `which` of two independent ones."""
+
+    def __init__(self, x: np.ndarray, which: int = 0):
+        up, self.down = _powers(which, len(x) + 1)
+        self.sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * up[: len(x)], out=self.sums[1:])
+
+    def fixed(self, k: int) -> np.ndarray:
+        n = len(self.sums) - k
+        return mixed((self.sums[k:] - self.sums[:-k]) * self.down[:n])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+class Words:
+    """The words of some texts: where they begin and end in data, where the words of each text begin among them, and the texts' tags."""
+
+    def __init__(self, parts: list[bytes], tags: list):
+        self.data, self.tags = b"\n".join(parts), tags
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        edge = np.diff(np.concatenate([[True], _SPACE[self.bytes], [True]]).view(np.int8))
+        self.start, self.end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+        at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        self.begin = np.searchsorted(self.start, at)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def hashes(self, which: int = 0) -> RunHashes:
+        """Of runs of words."""
+        return RunHashes(RunHashes(_BYTES[which][self.bytes], which).spans(self.start, self.end), which)
+
+    def windows(self, width: int) -> np.ndarray:
+        """First words of the runs of `width` words that lie within one text."""
+        n = len(self) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        edge = np.zeros(len(self) + 1, np.int64)
+        np.add.at(edge, np.maximum(self.begin[1:] - width + 1, 0), 1)
+        np.add.at(edge, self.begin[1:], -1)
+        return np.flatnonzero(np.cumsum(edge[:n]) == 0)
+
+    def texts(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """From the first to the last word (inclusive), with what stands between them."""
+        return [self.data[i:j] for i, j in zip(self.start[first].tolist(), self.end[last].tolist())]
+
+
+def word_blocks(items: Iterable[tuple], overlap: int, step: int = STEP) -> Iterator[Words]:
+    """Words of items (tag, data) of about `step` bytes together, tagged (tag, place of the first word in the text).
+
+    A text of more bytes comes in stretches of its own that overlap by `overlap` words, so that each run of overlap + 1 words is in one of them.
     """
-    words, begin, tags = [], [], []
+    parts, tags, size = [], [], 0
     for tag, data in items:
-        for at, run in word_runs(data, step, window - 1):
-            if len(run) < window:
-                continue
-            begin.append(len(words))
-            tags.append((tag, at))
-            words += run
-            if len(words) >= step:
-                yield words, np.array(begin), tags
-                words, begin, tags = [], [], []
-    if words:
-        yield words, np.array(begin), tags
-
-
-def window_starts(n: int, begin: np.ndarray, window: int) -> np.ndarray:
-    """Places of the windows that lie within one stretch."""
-    edge = np.zeros(n + 1, np.int8)
-    edge[begin[1:] - window + 1] = 1
-    edge[begin[1:]] -= 1
-    return np.flatnonzero(np.cumsum(edge[: n - window + 1]) == 0)
+        if len(data) > step:
+            yield from stretches(tag, data, overlap, step)
+            continue
+        parts.append(data)
+        tags.append((tag, 0))
+        size += len(data) + 1
+        if size >= step:
+            yield Words(parts, tags)
+            parts, tags, size = [], [], 0
+    if parts:
+        yield Words(parts, tags)
+
+
+def stretches(tag, data: bytes, overlap: int, step: int = STEP) -> Iterator[Words]:
+    """One text in stretches of about `step` bytes, as in word_blocks."""
+    at, place, size = 0, 0, step
+    while True:
+        end = at + size
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        got = Words([data[at:end]], [(tag, place)])
+        if end < len(data) and len(got) <= 2 * overlap:
+            # words of such length that little is gained
+            size *= 2
+            continue
+        yield got
+        if end >= len(data):
+            return
+        place += len(got) - overlap
+        at = at + int(got.start[-overlap]) if overlap else end
+        size = step
+
+
+#: Bits of a filter that tasks get: its size is fixed, so a full one only lets more through.
+FILTER_BITS = 1 << 26
+
+
+def filter_bits(wanted: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """`size` bits as numbers of 64, set for the 64-bit hashes in column h."""
+    slot = F.col("h").bitwiseAND(F.lit(size - 1))
+    # shiftleft takes its amount from the row
+    words = wanted.select(F.shiftright(slot, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    got = words.toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[got.column("i").to_numpy()] = got.column("b").to_numpy()
+    return bits.view(np.uint64)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h & np.uint64(64 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,12 +13,12 @@ def _jumped(parents: DataFrame) -> DataFrame:
     now = parents
     while True:
         up = now.select(F.col("node").alias("p"), F.col("parent").alias("pp"))
-        now = common.written(
+        before, now = now, common.written(
             now.join(up, F.col("parent") == F.col("p"), "left").select("node", F.coalesce("pp", "parent").alias("parent"), (F.coalesce("pp", "parent") != F.col("parent")).alias("moved"))
         )
+        common.discard(before)
         if now.where("moved").isEmpty():
             return now.select("node", F.col("parent").alias("root"))
-        now = now.drop("moved")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,6 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     left = common.written(links.select("u", "v").where("u <> v").distinct())
     while not left.isEmpty():
+        first = left
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hooked = common.written(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("parent")))
         roots = _jumped(hooked)
@@ -41,5 +42,6 @@ def components(links: DataFrame) -> DataFrame:
             labels = common.written(labels.join(over, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root")))
         for side in ("u", "v"):
             left = left.join(roots.select(F.col("node").alias(side), "root"), side, "left").drop(side).withColumnRenamed("root", side)
-        left = common.written(left.select("u", "v").where("u <> v").distinct())
+        over, left = first, common.written(left.select("u", "v").where("u <> v").distinct())
+        common.discard(over)
     return labels if labels is not None else links.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)

@@ -21,5 +21,6 @@ ORACLE = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_topk": topk.OP2_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op4_minhash_neardup": neardup.OP4_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }

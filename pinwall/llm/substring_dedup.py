@@ -15,53 +15,14 @@ from pinwall.llm import common
 
 #: Windows of so many words; they are routed by the least of the hashes of the GRAM-word runs in them.
 WINDOW, GRAM = 35, 8
-#: Bits of the filter of repeated runs that tasks get: its size is fixed; once it is half full, a merge join takes its place.
-FILTER_BITS = 1 << 26
+#: Bits of the filter of repeated runs that tasks get; once it is half full, a merge join takes its place.
+FILTER_BITS = common.FILTER_BITS
 #: Segments of a shard; occurrences of a run above which its windows are counted before they are dealt.
 SHARD, HOT = 400, 256
+#: Words of a text that are cut at a time.
+WORDS = 1 << 16
 
 _PLACE = np.uint64((1 << 20) - 1)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a hash base and of its inverse modulo 2^64."""
-    key = int(base)
-    if key not in _POWERS or len(_POWERS[key][0]) < n:
-        both = []
-        for b in (key, pow(key, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 17), b, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p))
-        _POWERS[key] = tuple(both)
-    return _POWERS[key]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-class RunHashes:
-    """Hashes of all runs of a word sequence by prefix sums."""
-
-    def __init__(self, words: np.ndarray, base: np.uint64 = _BASES[0]):
-        up, self.down = _powers(base, len(words) + 1)
-        self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=self.sums[1:])
-
-    def fixed(self, k: int) -> np.ndarray:
-        n = len(self.sums) - k
-        return _mixed((self.sums[k:] - self.sums[:-k]) * self.down[:n])
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
-def both_hashes(words: np.ndarray) -> tuple[RunHashes, RunHashes]:
-    """Two independent run hashes of words given as (n, 2) hashes: together 128 bits."""
-    return RunHashes(words[:, 0], _BASES[0]), RunHashes(words[:, 1], _BASES[1])
 
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
@@ -73,14 +34,17 @@ def sliding(op, x: np.ndarray, width: int) -> np.ndarray:
     return op(m[:n], m[width - have : width - have + n]) if have < width else m
 
 
-def segments(grams: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of runs of windows that share their least gram: every window of a stretch is in one segment, and equal windows have equal hashes.
+def segments(grams: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of runs of the windows at `starts` that share their least gram: every window is in one segment, and equal windows have equal hashes.
 
     Grams are compared by their upper 44 bits and then by place: that depends on nothing but the window's own words.
     """
-    starts = common.window_starts(len(grams) + GRAM - 1, begin, window)
-    packed = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    owner = (sliding(np.minimum, packed, window - GRAM + 1) & _PLACE).astype(np.int64)[starts]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, starts
+    places = np.arange(len(grams), dtype=np.uint64)
+    if len(grams) > int(_PLACE):
+        raise ValueError("too many words at once")
+    owner = (sliding(np.minimum, (grams & ~_PLACE) | places, window - GRAM + 1) & _PLACE).astype(np.int64)[starts]
     new = np.flatnonzero(np.diff(owner, prepend=-1))
     return grams[owner[new]], starts[new], starts[np.append(new[1:], len(starts)) - 1]
 
@@ -174,48 +138,32 @@ def _runs(rows: DataFrame, window: int, step: int) -> DataFrame:
     schema = pa.schema([("h", pa.int64())])
 
     def run(batches):
-        table = common.WordTable()
-        for words, begin, _ in common.blocks(_items(batches), window, step):
-            yield _batch(schema, segments(RunHashes(table.hashes(words)[:, 0]).fixed(GRAM), begin, window)[0])
+        for words in common.word_blocks(_items(batches), window - 1, step):
+            if len(starts := words.windows(window)):
+                yield _batch(schema, segments(words.hashes().fixed(GRAM), starts, window)[0])
 
     return common.map_batches(rows, run, "h long")
 
 
-def _filter_bits(repeated: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits as numbers of 64, set for the hashes in column h."""
-    slot = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-    # shiftleft takes its amount from the row
-    words = repeated.select(F.shiftright(slot, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    got = words.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[got.column("i").to_numpy()] = got.column("b").to_numpy()
-    return bits.view(np.uint64)
-
-
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(64 * len(bits) - 1)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-
-
 def _segment_rows(rows: DataFrame, window: int, bits, step: int = common.STEP) -> DataFrame:
     """rk, first (word of the text), n (windows), h, s1, s2 (the segment's own 128 bits), words: segments whose routing hash passes the filter."""
     schema = pa.schema([("rk", pa.binary()), ("first", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
-        table = common.WordTable()
-        for words, begin, tags in common.blocks(_items(batches), window, step):
-            one, two = both_hashes(table.hashes(words))
-            h, first, last = segments(one.fixed(GRAM), begin, window)
+        for words in common.word_blocks(_items(batches), window - 1, step):
+            starts = words.windows(window)
+            if not len(starts):
+                continue
+            one, two = words.hashes(0), words.hashes(1)
+            h, first, last = segments(one.fixed(GRAM), starts, window)
             if bits is not None:
-                fine = _passes(bits.value, h)
+                fine = common.passes(bits.value, h)
                 h, first, last = h[fine], first[fine], last[fine]
-            if not len(h):
-                continue
-            end = last + window
-            which = np.searchsorted(begin, first, side="right") - 1
-            place = first - begin[which] + np.array([at for _, at in tags])[which]
-            text = [b" ".join(words[i:j]) for i, j in zip(first.tolist(), end.tolist())]
-            yield _batch(schema, [tags[i][0] for i in which.tolist()], place, last - first + 1, h, one.spans(first, end), two.spans(first, end), text)
+            if len(h):
+                end = last + window
+                which = np.searchsorted(words.begin, first, side="right") - 1
+                place = first - words.begin[which] + np.array([at for _, at in words.tags])[which]
+                yield _batch(schema, [words.tags[i][0] for i in which.tolist()], place, last - first + 1, h, one.spans(first, end), two.spans(first, end), words.texts(first, end - 1))
 
     return common.map_batches(rows, run, "rk binary, first int, n int, h long, s1 long, s2 long, words binary")
 
@@ -225,14 +173,12 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("k", pa.int64()), ("i", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
 
     def run(batches):
-        table = common.WordTable()
         items = (((s1, s2, k), words) for b in batches for s1, s2, k, words in zip(*(c.to_pylist() for c in b.columns)))
-        for words, begin, tags in common.blocks(items, window):
-            one, two = both_hashes(table.hashes(words))
-            starts = common.window_starts(len(words), begin, window)
-            which = np.searchsorted(begin, starts, side="right") - 1
-            s1, s2, k = (np.array([t[0][c] for t in tags], np.int64)[which] for c in range(3))
-            yield _batch(schema, s1, s2, k, starts - begin[which], one.fixed(window)[starts], two.fixed(window)[starts])
+        for words in common.word_blocks(items, window - 1):
+            if len(starts := words.windows(window)):
+                which = np.searchsorted(words.begin, starts, side="right") - 1
+                s1, s2, k = (np.array([t[0][c] for t in words.tags], np.int64)[which] for c in range(3))
+                yield _batch(schema, s1, s2, k, starts - words.begin[which], words.hashes(0).fixed(window)[starts], words.hashes(1).fixed(window)[starts])
 
     return common.map_batches(rows, run, "s1 long, s2 long, k long, i int, w1 long, w2 long")
 
@@ -330,7 +276,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, step: int | None = N
     spark, step = rows.sparkSession, step or common.STEP
     runs = common.written(_runs(rows, window, step).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     if runs.count() <= FILTER_BITS // 2:
-        bits = spark.sparkContext.broadcast(_filter_bits(runs))
+        bits = spark.sparkContext.broadcast(common.filter_bits(runs, FILTER_BITS))
         segs = _segment_rows(rows, window, bits, step)
     else:
         segs = _segment_rows(rows, window, None, step).join(runs.select("h").hint("merge"), "h", "left_semi")
@@ -368,7 +314,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     A word goes if a window of `window` consecutive words that covers it starts anywhere else
     too, in this row or another (equal rows are different places). kept_text has the kept words
     joined by one space (null without with_text). Null, empty and shorter texts lose nothing.
-    A text of any length is looked at in overlapping stretches of common.STEP words.
+    A text of any length is looked at in overlapping stretches of common.STEP bytes.
 
     Every window belongs to the leftmost of its least GRAM-word runs, so equal windows meet at
     one run's hash. Runs are counted over the corpus; segments of windows whose run is repeated
@@ -386,7 +332,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     marks = repeated_windows(rows, window).distinct().groupBy("rk").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
     marks = marks.select("rk", F.col("marks.first").alias("firsts"), F.col("marks.mask").alias("masks"))
     full = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), common.row_key(key, text).alias("rk"))
-    cut = _remover(window, with_text, common.STEP)(F.col(f"row.`{text}`").cast("string"), F.col("firsts"), F.col("masks"))
+    cut = _remover(window, with_text, WORDS)(F.col(f"row.`{text}`").cast("string"), F.col("firsts"), F.col("masks"))
     out = full.join(common.written(marks).hint("merge"), "rk", "left").select("row", cut.alias("cut"))
     return out.select("row", "cut.n_words", "cut.n_removed", "cut.kept_sha256", "cut.kept_text")
 

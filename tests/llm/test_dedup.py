@@ -83,13 +83,39 @@ def test_suffix_automaton_counts():
 
 def test_segments_partition_windows():
     rng = np.random.default_rng(5)
-    for sizes in ([35], [36, 35, 400], [100, 300, 41]):
-        n, begin = sum(sizes), np.cumsum([0, *sizes[:-1]])
-        grams = rng.integers(0, 9 if 100 in sizes else 1 << 60, n - 7).astype(np.uint64) << np.uint64(22)
-        h, first, last = substring_dedup.segments(grams, begin, 35)
-        windows = [s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)]
-        assert windows == [b + s for b, k in zip(begin.tolist(), sizes) for s in range(k - 34)] and (last - first < 28).all()
-        assert all(x == grams[a : a + 28].min() for x, a in zip(h, first))
+    for sizes in ([35], [36, 35, 400], [100, 0, 300, 3, 41], [7]):
+        words = common.Words([b" ".join(b"%x" % x for x in rng.integers(0, 3 if 100 in sizes else 1 << 40, k)) for k in sizes], sizes)
+        assert len(words) == sum(sizes) and np.diff(words.begin).tolist() == sizes
+        starts = words.windows(35)
+        assert starts.tolist() == [b + s for b, k in zip(words.begin.tolist(), sizes) for s in range(k - 34)]
+        grams = words.hashes().fixed(8) if len(words) >= 8 else np.zeros(0, np.uint64)
+        h, first, last = substring_dedup.segments(grams, starts, 35)
+        assert [s for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)] == starts.tolist() and (last - first < 28).all()
+        assert all(x >> np.uint64(20) == grams[a : a + 28].min() >> np.uint64(20) for x, a in zip(h, first))
+
+
+def test_word_blocks_cover_long_texts():
+    rng = random.Random(6)
+    texts = [b" \t".join(b"w%d" % rng.randint(0, 99) for _ in range(n)) for n in (0, 3, 50, 400, 1000)] + [b"x" * 5000 + b" a b", b"  "]
+    for step, overlap in ((64, 0), (100, 4), (100, 34), (1 << 19, 34)):
+        seen = {i: {} for i in range(len(texts))}
+        for block in common.word_blocks(enumerate(texts), overlap, step):
+            one, two = block.hashes(0), block.hashes(1)
+            for (i, at), a, b in zip(block.tags, block.begin.tolist(), block.begin[1:].tolist()):
+                assert block.texts(np.array([a]), np.array([b - 1]))[0].split() == texts[i].split()[at : at + b - a] if b > a else True
+                for w in range(a, b - overlap):
+                    x, y = np.array([w]), np.array([w + overlap + 1])
+                    assert at + w - a not in seen[i]
+                    seen[i][at + w - a] = (int(one.spans(x, y)[0]), int(two.spans(x, y)[0]))
+        for i, t in enumerate(texts):
+            words = t.split()
+            assert sorted(seen[i]) == list(range(max(0, len(words) - overlap)))
+        runs = {}
+        for i, t in enumerate(texts):
+            words = t.split()
+            for w, h in seen[i].items():
+                assert runs.setdefault(h, words[w : w + overlap + 1]) == words[w : w + overlap + 1]
+        assert len(runs) == len({tuple(x) for x in runs.values()})
 
 
 def test_word_runs():
