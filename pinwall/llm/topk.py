@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pinwall.llm import common
 #: Pivots are picked among so many rows, those with the smallest hashes; every row is indexed.
 SAMPLE, PIVOTS = 2048, 24
 #: Rows in a leaf of the index, leaves searched by one task, queries in a block.
-LEAF, LEAVES, QUERIES = 512, 16, 512
+LEAF, LEAVES, QUERIES = 512, 32, 1024
 
 
 def integers(vector: str, scale: int = 256) -> Column:
@@ -57,19 +58,30 @@ def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def build_index(vectors: DataFrame, key: str = "id", vector: str = "v") -> tuple[DataFrame, dict[int, np.ndarray], float]:
+def _packed(x: np.ndarray) -> tuple[str, bytes]:
+    """The narrowest integers that hold x, and their bytes."""
+    top = int(max(x.max(initial=0), -x.min(initial=0)))
+    kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
+    return kind, x.astype(kind).tobytes()
+
+
+def _unpacked(kind: str, data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, kind).astype(np.int64).reshape(rows, dim)
+
+
+def build_index(vectors: DataFrame, key: str = "id", vector: str = "v", asked: Column | None = None) -> tuple[DataFrame, dict[int, np.ndarray], float]:
     """(leaves, pivots, largest squared norm) of key (long), vector (array<long>, no nulls).
 
     Rows are keyed by their nearest pivot and the distance to it and sorted by that key over
     the whole table; a leaf is a run of at most LEAF rows of one dimension and pivot, with the
     least and greatest distance. Each vector gets one more coordinate, sqrt(M - |v|^2) with M
     the largest squared norm, so that the nearest vectors are those of the greatest products.
-    Copies of one vector have one key and are dealt out by their ids.
+    Copies of one vector have one key and are dealt out by their ids. asked marks query rows.
     """
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.coalesce(asked if asked is not None else F.lit(False), F.lit(False)).alias("asked"))
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     top = rows.agg(F.max(square)).first()[0] or 0.0
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()]
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()]
     pivots = pick_pivots(sample)
 
     @F.pandas_udf("dim int, pivot int, distance double")
@@ -84,12 +96,13 @@ def build_index(vectors: DataFrame, key: str = "id", vector: str = "v") -> tuple
         return pd.DataFrame({"dim": dims.astype(np.int32), "pivot": pivot, "distance": dist})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select("id", "v", place("v").alias("p")).select("p.*", "id", "v")
+    keyed = rows.select("id", "v", "asked", place("v").alias("p")).select("p.*", "id", "v", "asked")
     order = ["dim", "pivot", "distance", "id"]
     placed = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def leaves(batches):
-        out = pa.schema([("dim", pa.int32()), ("pivot", pa.int32()), ("nearest", pa.float64()), ("farthest", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+        out = pa.schema([("leaf", pa.int64()), ("dim", pa.int32()), ("pivot", pa.int32()), ("nearest", pa.float64()), ("farthest", pa.float64()), ("kind", pa.string()), ("ids", pa.binary()), ("asked", pa.binary()), ("vectors", pa.binary())])
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             t = batch.to_pandas()
             if not len(t):
@@ -97,11 +110,13 @@ def build_index(vectors: DataFrame, key: str = "id", vector: str = "v") -> tuple
             run = ((t["dim"] != t["dim"].shift()) | (t["pivot"] != t["pivot"].shift())).cumsum()
             for (_, _), g in t.groupby([run, t.groupby(run).cumcount() // LEAF], sort=False):
                 dim, pivot = int(g["dim"].iloc[0]), int(g["pivot"].iloc[0])
-                x = np.array(g["v"].tolist(), "<i8").reshape(len(g), dim)
-                cols = [dim, pivot, g["distance"].min(), g["distance"].max(), g["id"].to_numpy("<i8").tobytes(), x.tobytes()]
+                kind, data = _packed(np.array(g["v"].tolist(), np.int64).reshape(len(g), dim))
+                cols = [number, dim, pivot, g["distance"].min(), g["distance"].max(), kind, g["id"].to_numpy("<i8").tobytes(), g["asked"].to_numpy(np.uint8).tobytes(), data]
+                number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, out)], schema=out)
 
-    return common.written(placed.mapInArrow(leaves, "dim int, pivot int, nearest double, farthest double, ids binary, vectors binary")), pivots, float(top)
+    made = common.map_batches(placed, leaves, "leaf long, dim int, pivot int, nearest double, farthest double, kind string, ids binary, asked binary, vectors binary")
+    return common.written(made), pivots, float(top)
 
 
 class _Best:
@@ -126,6 +141,75 @@ class _Best:
             self.rows[i] = sorted(self.rows[i] + list(zip(line.tolist(), cand.tolist())), key=lambda r: (-r[0], r[1]))[: self.k]
 
 
+def _first_scores(index: DataFrame, pivots: dict[int, np.ndarray], k: int) -> DataFrame:
+    """id, dim, v, pivot, distance, near (distances to all pivots), floor: every query row and the k-th score within its own leaf (null for fewer rows)."""
+    schema = "id long, dim int, kind string, v binary, pivot int, distance double, near array<double>, floor double"
+    out = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("v", pa.binary()), ("pivot", pa.int32()), ("distance", pa.float64()), ("near", pa.list_(pa.float64())), ("floor", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, asked = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["asked"], np.uint8) > 0
+                if not asked.any():
+                    continue
+                x = _unpacked(r["kind"], r["vectors"], len(ids), r["dim"])
+                q = x[asked]
+                near = _distances(q.astype(np.float64), np.zeros(len(q)), _pivots_of(pivots, r["dim"]))
+                floors = []
+                for me, line in zip(ids[asked], _inner(q, x)):
+                    line = line[ids != me]
+                    floors.append(float(np.partition(line, -k)[-k]) if len(line) >= k else None)
+                kinds = [_packed(v) for v in q]
+                cols = [ids[asked], [r["dim"]] * len(q), [a for a, _ in kinds], [b for _, b in kinds], near.argmin(1).astype(np.int32), near.min(1), near.tolist(), floors]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    found = common.map_batches(index.select("dim", "kind", "ids", "asked", "vectors"), run, schema)
+    # equal rows are one query; the same vector has the same distances
+    return found.groupBy("id", "dim", "kind", "v").agg(F.max("floor").alias("floor"), *(F.first(c).alias(c) for c in ("pivot", "distance", "near")))
+
+
+def _query_blocks(queries: DataFrame) -> DataFrame:
+    """block, dim, ids, vectors, floors, lo and hi (ranges of the distances to each pivot), least (floor), reach (largest squared norm): queries next to each other in the index's order."""
+    n = max(1, -(-queries.count() // QUERIES))
+    order = ["dim", "pivot", "distance", "id"]
+    schema = "block long, dim int, ids binary, vectors binary, floors binary, lo array<double>, hi array<double>, least double, reach double"
+    out = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("floors", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("least", pa.float64()), ("reach", pa.float64())])
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows = batch.to_pylist()
+            for dim in sorted({r["dim"] for r in rows}):
+                mine = [r for r in rows if r["dim"] == dim]
+                for at in range(0, len(mine), QUERIES):
+                    part = mine[at : at + QUERIES]
+                    x = np.concatenate([_unpacked(r["kind"], r["v"], 1, dim) for r in part])
+                    near = np.array([r["near"] for r in part])
+                    floors = np.array([-np.inf if r["floor"] is None else r["floor"] for r in part])
+                    ids = np.array([r["id"] for r in part], "<i8")
+                    square = (x.astype(np.float64) ** 2).sum(1)
+                    cols = [number, dim, ids.tobytes(), x.astype("<i8").tobytes(), floors.tobytes(), near.min(0).tolist(), near.max(0).tolist(), floors.min(), square.max(initial=0)]
+                    number += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, out)], schema=out)
+
+    return common.map_batches(queries.repartitionByRange(n, *order).sortWithinPartitions(*order), run, schema)
+
+
+def _meetings(index: DataFrame, blocks: DataFrame, top: float) -> DataFrame:
+    """block, leaf: pairs that the triangle inequality doesn't rule out; only bounds meet here, no vectors.
+
+    |q - c| >= gap in the space with one more coordinate, where |q - c|^2 = |q|^2 + M - 2 q.c.
+    """
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = index.select("leaf", "dim", "pivot", "nearest", "farthest", F.pmod(F.xxhash64("leaf"), F.lit(parts)).alias("part"))
+    asked = blocks.select("block", "dim", "lo", "hi", "least", "reach").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    lo, hi = F.element_at("lo", F.col("pivot") + 1), F.element_at("hi", F.col("pivot") + 1)
+    gap = F.greatest(F.col("nearest") - hi, lo - F.col("farthest"), F.lit(0.0))
+    most = (F.col("reach") + F.lit(top) - gap * gap) / 2
+    slack = F.lit(1e-6) * (F.col("reach") + F.lit(top + 1))
+    return asked.join(bounds, ["part", "dim"]).where(most + F.abs(most) * 1e-9 + slack >= F.col("least")).select("block", "leaf")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "id", vector: str = "v") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of the greatest integer inner product with each query, ties to smaller ids.
 
@@ -134,45 +218,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "id", vec
     all rows with another key; equal query rows are one query, equal candidate rows count
     each. Fewer candidates than k give as many rows; an empty table gives none.
 
-    A task gets a block of queries and some leaves, nearest annuli first, and leaves out a
-    query where the triangle inequality shows that no vector of the leaf reaches its k-th
-    score so far. Blocks against blocks: nothing is broadcast, no pair of rows is shuffled.
+    Each query first gets the k-th score within its own leaf. Blocks of neighbouring queries
+    then meet the leaves' bounds, and only pairs that the triangle inequality doesn't rule out
+    get their vectors. A task has a block of queries and some leaves, nearest annuli first,
+    and leaves out a query where no vector of a leaf can reach its k-th score so far. Blocks
+    against blocks: nothing is broadcast, no pair of rows is shuffled.
     """
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = common.written(rows)
-    index, pivots, top = build_index(rows)
-    queries = rows.where(is_query).distinct()
-    n_blocks = max(1, -(-queries.count() // QUERIES))
-    n_groups = max(1, -(-index.count() // LEAVES))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    left = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("block", F.col("block").cast("int"))
-    part = F.pmod(F.xxhash64("dim", "pivot", "nearest", "ids"), F.lit(n_groups)).cast("int")
-    right = index.withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    index, pivots, top = build_index(rows, asked=is_query)
+    blocks = common.written(_query_blocks(common.written(_first_scores(index, pivots, k))))
+    meetings = common.written(_meetings(index, blocks, top).join(index.select("leaf", (F.floor(F.col("leaf") / LEAVES)).alias("part")), "leaf"))
+    left = blocks.join(meetings.select("block", "part").distinct(), "block").select("block", "part", "dim", "ids", "vectors", "floors").toDF("b", "p", "dim", "ids", "vectors", "floors")
+    right = index.join(meetings, "leaf").select("block", "part", "dim", "pivot", "nearest", "farthest", "kind", "ids", "vectors")
 
     def search(_, mine: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
         out = []
-        pairs = [(q["id"], q["v"]) for block in mine["queries"] for q in block] if len(leaves) else []
-        for dim in sorted({len(v) for _, v in pairs}):
-            ids = np.array([i for i, v in pairs if len(v) == dim], np.int64)
-            q = np.array([v for _, v in pairs if len(v) == dim], np.int64).reshape(len(ids), dim)
+        for _, b in mine.iterrows():
+            ids, dim = np.frombuffer(b["ids"], "<i8"), int(b["dim"])
+            q = np.frombuffer(b["vectors"], "<i8").reshape(len(ids), dim)
+            floors = np.frombuffer(b["floors"], np.float64)
             x = q.astype(np.float64)
             norm = (x * x).sum(1)
             to_pivots = _distances(x, np.zeros(len(x)), _pivots_of(pivots, dim))
             best = _Best(len(ids), k)
-            own = leaves[leaves["dim"] == dim]
-            gap = [np.maximum(np.maximum(lo - to_pivots[:, p], to_pivots[:, p] - hi), 0) for p, lo, hi in zip(own["pivot"], own["nearest"], own["farthest"])]
+            gap = [np.maximum(np.maximum(lo - to_pivots[:, p], to_pivots[:, p] - hi), 0) for p, lo, hi in zip(leaves["pivot"], leaves["nearest"], leaves["farthest"])]
             for j in np.argsort([g.min() for g in gap], kind="stable"):
-                # |q - c| >= gap in the space with one more coordinate, where |q - c|^2 = |q|^2 + M - 2 q.c
                 reach = (norm + top - gap[j] ** 2) / 2
-                active = np.flatnonzero(reach * (1 + 1e-9 * np.sign(reach)) + 1e-6 * (norm + top + 1) >= best.floor())
+                active = np.flatnonzero(reach * (1 + 1e-9 * np.sign(reach)) + 1e-6 * (norm + top + 1) >= np.maximum(best.floor(), floors))
                 if len(active):
-                    cand = np.frombuffer(own["ids"].iloc[j], "<i8")
-                    block = np.frombuffer(own["vectors"].iloc[j], "<i8").reshape(len(cand), dim)
+                    cand = np.frombuffer(leaves["ids"].iloc[j], "<i8")
+                    block = _unpacked(leaves["kind"].iloc[j], leaves["vectors"].iloc[j], len(cand), dim)
                     best.add(active, _inner(q[active], block), cand, ids[active])
             out += [(int(i), int(c), int(s)) for i, r in zip(ids, best.rows) for s, c in r]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+    found = left.groupBy("b", "p").cogroup(right.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
     # queries of one key and different vectors are told apart by their scores only; keys are unique in a sound table
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

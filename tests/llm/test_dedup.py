@@ -184,6 +184,45 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_what_the_stars_leave_is_exact(spark, monkeypatch):
+    """With a single centre a key, links across components are left to the round by distances."""
+    monkeypatch.setattr(neardup, "CENTRES", 1)
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "STRAY_BYTES", 4096)
+    monkeypatch.setattr(neardup, "OTHER_BYTES", 4096)
+    rng = random.Random(17)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}x{i}" for i in range(80)]
+        for _ in range(70):
+            # a chain: each copy changes the last one, so far ends aren't alike
+            words = [w if rng.random() > 0.012 else f"e{rng.randint(0, 9999)}" for w in words]
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = rows_of(neardup.near_duplicates(df, 3, 85))
+    want = plain_components([{"doc_id": i, "text": t} for i, t in rows], 3, 85)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+    assert 3 <= len({c for _, _, c in want}) < 120
+
+
+def test_long_near_duplicates(spark):
+    rng = random.Random(23)
+    words = [f"v{rng.randint(0, 99999)}" for _ in range(200_000)]
+    near, far = list(words), [f"u{i % 70_000}" for i in range(200_000)]
+    for i in range(0, 200_000, 400):
+        near[i] = "changed"
+    texts = [" ".join(words), "\n".join(near).upper(), " ".join(far), " ".join(words[:9])]
+    assert len(texts[0]) > 1_000_000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(neardup.near_duplicates(df, 3, 85))}
+    lower = [t.lower().split() for t in texts]
+    sets = [len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) for w in lower]
+    assert got == {i: (n, 0 if i == 1 else i) for i, n in enumerate(sets)}
+    cut = rows_of(substring_dedup.substring_dedup(df, with_text=False))
+    assert sorted(((r["row"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in cut), key=str) == plain_substrings([{"doc_id": i, "text": t} for i, t in enumerate(texts)], 35)
+
+
 def test_keys_guarantee_the_threshold():
     """Signatures within THRESHOLD symbols share an index key: some chunk has at most one error."""
     rng = random.Random(1)

@@ -36,6 +36,25 @@ def test_top_k_is_exact(spark, monkeypatch, spread):
     assert topk.top_k(df.limit(0), F.col("id") % 5 == 0).count() == 0
 
 
+def test_bounds_come_before_vectors(spark, monkeypatch):
+    """On clustered vectors most pairs of query block and leaf are ruled out before any vector travels, and what is left grows with the input."""
+    monkeypatch.setattr(topk, "LEAF", 32)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    met = []
+    for n in (2000, 8000):
+        rng = np.random.default_rng(7)
+        centers = rng.normal(size=(n // 100, 16))
+        centers = 2000 * centers / np.linalg.norm(centers, axis=1)[:, None]
+        x = (centers[np.arange(n) % len(centers)] + rng.normal(scale=15, size=(n, 16))).astype(int)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+        index, pivots, top = topk.build_index(df, "id", "v", F.col("id") % 50 < 2)
+        blocks = topk._query_blocks(topk._first_scores(index, pivots, 5)).cache()
+        meetings = topk._meetings(index, blocks, top).count()
+        met.append(meetings)
+        assert meetings < 0.7 * blocks.count() * index.count()
+    assert met[1] < met[0] * 16
+
+
 def test_integers(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.5, -0.001]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (5, None), (6, [])]

@@ -102,9 +102,27 @@ def test_crossover_keeps_every_item_once():
         child = packing.crossover(one, two, lengths, 100, rng)
         for p in (child, packing.mutate(child, lengths, 100, rng)):
             assert sorted(i for b in p.bins for i in b) == list(range(150)) and all(sum(lengths[i] for i in b) == f <= 100 for b, f in zip(p.bins, p.fills))
-    best = packing.evolve(lengths, 100, seed=1)
+    best, _ = packing.evolve(lengths, 100, seed=1, children=60)
     assert len(best.bins) <= len(packing.best_fit(sorted(range(150), key=lambda i: -lengths[i]), lengths, 100).bins)
-    assert packing.evolve(lengths, 100, seed=1).bins == best.bins
+    assert packing.evolve(lengths, 100, seed=1, children=60)[0].bins == best.bins
+
+
+def test_evolution_beats_best_fit_decreasing(spark):
+    """Lengths for which falling best fit is far from the best: crossovers happen, migrants are taken over, and the result needs fewer sequences."""
+    rng = random.Random(21)
+    lengths = [rng.randint(512, 922) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    used = packing.pack(items, 2048).select("sequence_id").distinct().count()
+    falling = packing.best_fit(sorted(range(3000), key=lambda i: -lengths[i]), lengths, 2048)
+    assert used < 0.99 * len(falling.bins)
+    level = rows_of(packing._level(items, 2, 0, 2048))
+    assert all(r["crossed"] > 0 for r in level)
+    # an elite that comes from the other island lifts a population
+    own, _ = packing.evolve(lengths[:1000], 2048, 1, children=2)
+    other, _ = packing.evolve(lengths[:1000], 2048, 2, children=40)
+    assert other.fitness() < own.fitness()
+    after, crossed = packing.evolve(lengths[:1000], 2048, 3, [own, other], children=8)
+    assert crossed == 8 and after.fitness() <= other.fitness()
 
 
 def test_sequences_hold_the_ids(docs, tokenizer):
