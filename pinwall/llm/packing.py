@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -16,9 +15,11 @@ from pyspark.sql import functions as F
 from pinwall.llm import common, tokens
 
 CAPACITY = 2048
-#: Pieces that one island packs; islands for each such block; epochs, with a migration between two; generations of an epoch.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS = 2000, 2, 2, 6
+#: Pieces that one island packs; islands for each such block; epochs, with a migration between two; children of an epoch.
+BLOCK, ISLANDS, EPOCHS, CHILDREN = 2000, 2, 2, 16
 POPULATION = 4
+#: Odd islands begin with items in falling order of their lengths times a random number this close to 1; even ones in random order.
+BLUR = 0.3
 #: A level keeps bins with at most so much room; the pieces of the others go on to the next level, mixed anew.
 ROOM = (0, 1, 2, 4, 8, 16, 32, 64)
 
@@ -53,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} {'long' if n != 'ids' else 'binary'}" for n in names))
+    return common.map_batches(rows, run, ", ".join(f"{n} {'long' if n != 'ids' else 'binary'}" for n in names))
 
 
 # ---------------------------------------------------------------- genetic algorithm
@@ -65,139 +66,186 @@ class Packing:
     def __init__(self, bins: list[list[int]], fills: list[int]):
         self.bins, self.fills = bins, fills
 
-    def fitness(self, capacity: int) -> tuple[int, float]:
+    def fitness(self) -> tuple[int, int]:
         """Fewer bins are better; among equals, few bins with much room are better than many with some."""
-        return len(self.bins), -sum((f / capacity) ** 2 for f in self.fills)
+        return len(self.bins), -sum(f * f for f in self.fills)
 
 
 def best_fit(order: list[int], lengths: list[int], capacity: int, into: Packing | None = None) -> Packing:
-    """Puts items in this order into the bin that they leave the least room in, or a new one."""
+    """Puts items in this order into the bin that they leave the least room in, or a new one.
+
+    Open bins are listed by their room; a bit mask of the rooms that occur gives the least one
+    that takes a length.
+    """
     bins, fills = ([list(b) for b in into.bins], list(into.fills)) if into else ([], [])
-    rooms = sorted((capacity - f, i) for i, f in enumerate(fills) if f < capacity)
+    open_: list[list[int] | None] = [None] * (capacity + 1)
+    rooms = 0
+    for i, f in enumerate(fills):
+        if room := capacity - f:
+            open_[room] = [*(open_[room] or ()), i]
+            rooms |= 1 << room
     for item in order:
         size = lengths[item]
-        at = bisect_left(rooms, (size, -1))
-        if at < len(rooms):
-            room, i = rooms.pop(at)
+        fitting = rooms >> size
+        if fitting:
+            room = size + (fitting & -fitting).bit_length() - 1
+            i = open_[room].pop()
+            if not open_[room]:
+                rooms ^= 1 << room
             bins[i].append(item)
             fills[i] += size
-            if room > size:
-                insort(rooms, (room - size, i))
+            room -= size
         else:
+            i, room = len(bins), capacity - size
             bins.append([item])
             fills.append(size)
-            if size < capacity:
-                insort(rooms, (capacity - size, len(bins) - 1))
+        if room:
+            if open_[room]:
+                open_[room].append(i)
+            else:
+                open_[room] = [i]
+                rooms |= 1 << room
     return Packing(bins, fills)
 
 
 def crossover(one: Packing, two: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """Injects whole well-filled bins of `two` into `one`; bins of `one` that hold injected items dissolve, what they displaced is best-fitted."""
     full = sorted(range(len(two.bins)), key=lambda i: (-two.fills[i], i))
-    take = rng.randint(1, max(1, len(full) // 2))
-    injected = full[:take] if rng.random() < 0.5 else sorted(rng.sample(full[: max(take, (3 * len(full)) // 4)], take))
-    owned = {item for i in injected for item in two.bins[i]}
+    injected = full[: rng.randint(1, max(1, 3 * len(full) // 4))]
+    owned = bytearray(len(lengths))
+    for i in injected:
+        for item in two.bins[i]:
+            owned[item] = 1
     bins, fills = [two.bins[i] for i in injected], [two.fills[i] for i in injected]
     displaced = []
     for b, f in zip(one.bins, one.fills):
-        if owned.isdisjoint(b):
+        free = [item for item in b if not owned[item]]
+        if len(free) == len(b):
             bins.append(b)
             fills.append(f)
         else:
-            displaced += [item for item in b if item not in owned]
+            displaced += free
     displaced.sort(key=lambda i: (-lengths[i], i))
     return best_fit(displaced, lengths, capacity, Packing(bins, fills))
 
 
 def mutate(one: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Dissolves the emptiest bins and some others, and best-fits their items."""
-    order = sorted(range(len(one.bins)), key=lambda i: (one.fills[i], i))
-    out = set(order[: max(1, len(order) // 20)]) | set(rng.sample(order, max(1, len(order) // 20)))
+    """Dissolves the emptiest bin, some of those with room and a few others, and best-fits their items."""
+    roomy = [i for i, f in enumerate(one.fills) if f < capacity]
+    rng.shuffle(roomy)
+    out = set(roomy[: max(2, int(len(roomy) * rng.uniform(0.05, 1.0)))]) | {min(range(len(one.bins)), key=one.fills.__getitem__)}
+    out |= set(rng.sample(range(len(one.bins)), max(1, len(one.bins) // 50)))
     loose = sorted((item for i in out for item in one.bins[i]), key=lambda i: (-lengths[i], i))
     rest = [i for i in range(len(one.bins)) if i not in out]
     return best_fit(loose, lengths, capacity, Packing([one.bins[i] for i in rest], [one.fills[i] for i in rest]))
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Packing] = (), generations: int = GENERATIONS, population: int = POPULATION) -> Packing:
-    """The best packing of one island's epoch; elites (its own and a migrant) join the first population. Stops early at the least possible number of bins."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[Packing] = (), children: int = CHILDREN, population: int = POPULATION, blur: float | None = None) -> tuple[Packing, int]:
+    """(the best packing of one island's epoch, the number of crossovers); elites (its own and a migrant) join the first population.
+
+    The others begin as best fits of random orders, or of blurred falling ones. It ends early
+    at the least possible number of bins.
+    """
     rng = random.Random(seed)
-    falling = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     least = -(-sum(lengths) // capacity)
     pool = list(elites)
     while len(pool) < population:
-        if pool:
-            blur = [lengths[i] * rng.uniform(0.85, 1.15) for i in range(len(lengths))]
-            pool.append(best_fit(sorted(falling, key=lambda i: -blur[i]), lengths, capacity))
+        order = list(range(len(lengths)))
+        if blur is None:
+            rng.shuffle(order)
         else:
-            pool.append(best_fit(falling, lengths, capacity))
-        if len(pool[-1].bins) == least:
-            break
-    rank = lambda p: p.fitness(capacity)
-    pool.sort(key=rank)
-    for _ in range(generations):
-        if len(pool[0].bins) <= least:
-            break
-        children = []
-        for _ in range(population):
-            one, two = rng.choice(pool), rng.choice(pool)
-            children.append(crossover(one, two, lengths, capacity, rng) if one is not two else mutate(one, lengths, capacity, rng))
-        pool = sorted(pool + children, key=rank)[:population]
-    return pool[0]
-
-
-def _island(capacity: int, epoch: int):
-    """One epoch of the island that the rows' (block, island) name: rows of an earlier epoch carry its and its neighbour's elites."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        block, island = int(rows["block"].iloc[0]), int(rows["island"].iloc[0])
-        rows = rows.sort_values(["origin", "item"], kind="stable")
-        own = rows[rows["origin"] == rows["origin"].iloc[0]]
-        items = own["item"].tolist()
-        lengths = own["length"].tolist()
-        place = {item: i for i, item in enumerate(items)}
-        elites = []
-        if epoch:
-            for _, g in rows.groupby("origin", sort=True):
-                bins: dict[int, list[int]] = {}
-                for item, b in zip(g["item"].tolist(), g["bin"].tolist()):
-                    bins.setdefault(b, []).append(place[item])
-                groups = [bins[b] for b in sorted(bins)]
-                elites.append(Packing(groups, [sum(lengths[i] for i in b) for b in groups]))
-        best = evolve(lengths, capacity, seed=(block * 1_000_003 + island) * 31 + epoch, elites=elites)
-        out = []
-        for n, (members, fill) in enumerate(zip(best.bins, best.fills)):
-            offset = 0
-            for i in members:
-                out.append((block, island, items[i], lengths[i], n, offset, fill, len(best.bins)))
-                offset += lengths[i]
-        return pd.DataFrame(out, columns=["block", "island", "item", "length", "bin", "offset", "fill", "bins"])
-
-    return run
-
-
-_ROWS = "block long, island int, item long, length long, bin long, offset long, fill long, bins long"
+            key = [n * rng.uniform(1 - blur, 1 + blur) for n in lengths]
+            order.sort(key=key.__getitem__, reverse=True)
+        pool.append(best_fit(order, lengths, capacity))
+    ranked = sorted(((p.fitness(), i) for i, p in enumerate(pool)))
+    pool, marks = [pool[i] for _, i in ranked], [f for f, _ in ranked]
+    crossed = 0
+    while crossed < children and marks[0][0] > least:
+        one, two = rng.sample(pool, 2) if len(pool) > 1 else (pool[0], pool[0])
+        child = mutate(crossover(one, two, lengths, capacity, rng), lengths, capacity, rng)
+        crossed += 1
+        mark = child.fitness()
+        if mark not in marks and mark < marks[-1]:
+            at = bisect_left(marks, mark)
+            pool.insert(at, child)
+            marks.insert(at, mark)
+            del pool[population:], marks[population:]
+    return pool[0], crossed
+
+
+_ISLAND = "block long, island int, items array<long>, lengths array<int>, bin array<int>, bins int, rank long, crossed int"
+
+
+def _islands(rows: DataFrame, capacity: int, epoch: int) -> DataFrame:
+    """One epoch of each row's island (block, island, items, lengths, elites: array of bin numbers by item): a task holds one island at a time."""
+    out = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("items", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())), ("bins", pa.int32()), ("rank", pa.int64()), ("crossed", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, island, items, lengths, elites = (c[i].as_py() for c in batch.columns)
+                order = sorted(range(len(items)), key=items.__getitem__) if not elites else range(len(items))
+                items, lengths = [items[j] for j in order], [lengths[j] for j in order]
+                pool = []
+                for bins in elites or ():
+                    groups: list[list[int]] = [[] for _ in range(max(bins) + 1)]
+                    for item, b in enumerate(bins):
+                        groups[b].append(item)
+                    pool.append(Packing(groups, [sum(map(lengths.__getitem__, g)) for g in groups]))
+                best, crossed = evolve(lengths, capacity, (block * 1_000_003 + island) * 31 + epoch, pool, blur=BLUR if island % 2 else None)
+                bins = [0] * len(items)
+                for n, members in enumerate(best.bins):
+                    for item in members:
+                        bins[item] = n
+                cols = [block, island, items, lengths, bins, len(best.bins), best.fitness()[1], crossed]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cols, out)], schema=out)
+
+    return common.map_batches(rows, run, _ISLAND)
 
 
 def _level(items: DataFrame, n_blocks: int, level: int, capacity: int) -> DataFrame:
-    """block, item, length, bin, offset, fill: the best island's packing of each block."""
+    """block, bins, crossed, and items, lengths, bin (arrays): the best island's packing of each block."""
+    spark = items.sparkSession
     block = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(n_blocks))
-    rows = items.select("item", "length", block.alias("block"), F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"))
-    rows = rows.withColumn("origin", F.col("island")).withColumn("bin", F.lit(0).cast("long"))
+    packed = items.groupBy(block.alias("block")).agg(F.collect_list(F.struct("item", F.col("length").cast("int").alias("length"))).alias("x"))
+    rows = packed.select("block", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), F.col("x.item").alias("items"), F.col("x.length").alias("lengths"))
+    rows = rows.withColumn("elites", F.lit(None).cast("array<array<int>>"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for epoch in range(EPOCHS):
-        made = common.written(rows.groupBy("block", "island").applyInPandas(_island(capacity, epoch), _ROWS))
+        spread = rows.select("block", "island", "items", "lengths", "elites").repartition(min(parts, n_blocks * ISLANDS), "block", "island")
+        made = common.written(_islands(spread, capacity, epoch))
         # the elite stays and also moves to the next island of the ring
-        rows = made.select("block", F.explode(F.array(F.col("island"), (F.col("island") + 1) % ISLANDS)).alias("to"), F.col("island").alias("origin"), "item", "length", "bin").withColumnRenamed("to", "island")
-    fewest = made.groupBy("block").agg(F.min(F.struct("bins", "island")).alias("best"))
-    best = made.join(fewest.select("block", F.col("best.island").alias("best")), "block").where(F.col("island") == F.col("best"))
-    return best.select("block", "item", "length", "bin", "offset", "fill")
+        migrant = made.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bin").alias("migrant"))
+        rows = made.join(migrant, ["block", "island"]).withColumn("elites", F.array("bin", "migrant"))
+    best = F.min_by(F.struct("items", "lengths", "bin"), F.struct("bins", "rank", "island"))
+    return made.groupBy("block").agg(best.alias("best"), F.min("bins").alias("bins"), F.sum("crossed").alias("crossed")).select("block", "bins", "crossed", "best.*")
+
+
+def _placed(made: DataFrame) -> DataFrame:
+    """block, item, length, bin, offset, fill: a row for each item."""
+    out = pa.schema([("block", pa.int64()), ("item", pa.int64()), ("length", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, items, lengths, bins = (batch.column(n)[i] for n in range(4))
+                items, lengths, bins = (np.asarray(c.values, np.int64) for c in (items, lengths, bins))
+                order = np.argsort(bins, kind="stable")
+                fill = np.bincount(bins, weights=lengths).astype(np.int64)
+                upto = np.cumsum(lengths[order]) - lengths[order]
+                first = np.cumsum(fill) - fill
+                cols = [np.full(len(items), block.as_py()), items[order], lengths[order], bins[order], upto - first[bins[order]], fill[bins[order]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    return common.map_batches(made.select("block", "items", "lengths", "bin"), run, "block long, item long, length long, bin long, offset long, fill long")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """item, sequence_id, offset of item (long, unique), length (long, 1 to capacity): sequences of at most `capacity`, filled from offset 0 without gaps.
 
     Items of full length are sequences of their own. The others are dealt into blocks of about
-    BLOCK items by hash, whatever their source or length. Each block is evolved by ISLANDS
-    islands, each a task of bounded size, whose elites migrate between epochs. Full bins stay;
+    BLOCK items by hash, whatever their source or length. Each block is one row of arrays,
+    evolved by ISLANDS islands whose elites migrate between epochs. Full bins stay;
     the items of the others are dealt into fewer blocks and packed again, with growing
     tolerance, until one block is left. So room remains in the last block's bins and, at most
     the tolerance, in others; the number of rounds grows with the logarithm of the items.
@@ -209,13 +257,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n, level = rest.count(), 0
     while n:
         blocks = max(1, round(n / BLOCK))
-        made = _level(rest, blocks, level, capacity)
+        made = common.written(_placed(_level(rest, blocks, level, capacity)))
         # one number for (level, block, bin): up to 2^6 levels, 2^36 blocks, 2^20 bins
         numbered = F.lit(level << 56) + F.col("block") * F.lit(1 << 20) + F.col("bin")
         if blocks == 1:
             done.append(made.select("item", numbered.alias("sequence_id"), "offset"))
             break
-        made = common.written(made)
         kept = F.col("fill") >= capacity - ROOM[min(level, len(ROOM) - 1)]
         done.append(made.where(kept).select("item", numbered.alias("sequence_id"), "offset"))
         rest = made.where(~kept).select("item", "length")
