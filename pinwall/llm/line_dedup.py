@@ -38,7 +38,8 @@ def _cutter(window: int):
             out.append((len(lines), len(covered), "\n".join(kept) if covered else t))
         return pd.DataFrame(out, columns=["n_lines", "n_removed", "kept_text"])
 
-    return cut
+    # a filter on its result would have it computed twice
+    return cut.asNondeterministic()
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:

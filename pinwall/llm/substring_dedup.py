@@ -261,7 +261,8 @@ def _remover(window: int, with_text: bool, step: int) -> Callable[..., Column]:
             out.append((n, int(gone.sum()), digest.hexdigest(), b"".join(kept).decode("utf-8", "surrogatepass") if with_text else None))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return cut
+    # a filter on its result would have it computed twice
+    return cut.asNondeterministic()
 
 
 def _hot_windows(distinct: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
