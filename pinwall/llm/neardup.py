@@ -130,14 +130,13 @@ def index_keys(sig: DataFrame) -> DataFrame:
 
 def symbol_distance(a: str, b: str) -> Column:
     """In how many 16-bit symbols the signatures with these column prefixes differ."""
-    total = None
+    low = F.lit(0x0000FFFF0000FFFF)
+    total = F.lit(0)
     for s in _SIG:
         x = F.col(a + s).bitwiseXOR(F.col(b + s))
-        for shift in (8, 4, 2, 1):
-            # bit 0 of each symbol gathers the symbol's own 16 bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        n = F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-        total = n if total is None else total + n
+        for half in (x, F.shiftrightunsigned(x, 16)):
+            # two symbols with 16 free bits above each: one that isn't 0 carries into bit 16
+            total = total + F.bit_count((half.bitwiseAND(low) + low).bitwiseAND(F.lit(0x0001000000010000)))
     return total
 
 
@@ -273,7 +272,9 @@ def _centred(mixed: DataFrame, sig: DataFrame, links: DataFrame) -> DataFrame:
     at = common.written(at.select("hub", "centre", "node", "root", symbol_distance("a_", "z_").alias("off")))
     radius = at.where("root = hub").groupBy("hub").agg(F.max("off").alias("radius"))
     near_hub = at.where("root <> hub").join(radius, "hub").where(F.col("off") <= THRESHOLD + F.col("radius")).select("hub", "node")
-    loose = full.where("root <> hub").join(_named(sig, "a_"), F.col("node") == F.col("a_node"))
+    loose = full.where("root <> hub")
+    several = loose.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    loose = loose.join(several, "key", "left_semi").join(_named(sig, "a_"), F.col("node") == F.col("a_node"))
     other = loose.select("key", "root", *(F.col("a_" + x) for x in ("node", "n", *_SIG))).toDF("b_key", "b_root", *("b_" + x for x in ("node", "n", *_SIG)))
     admitted = (F.col("key") == F.col("b_key")) & (F.col("root") != F.col("b_root")) & near("a_", "b_", percent=0)
     near_stray = loose.join(other, admitted, "left_semi").select("hub", "node")

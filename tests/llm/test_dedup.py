@@ -231,6 +231,22 @@ def test_keys_guarantee_the_threshold():
         assert any(sum(c * 4 + s in wrong for s in range(4)) <= 1 for c in range(neardup.CHUNKS))
 
 
+def test_symbol_distance(spark):
+    rng = random.Random(31)
+    rows, want = [], []
+    for i in range(300):
+        a = [rng.getrandbits(64) for _ in range(neardup.CHUNKS)]
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            b[rng.randrange(neardup.CHUNKS)] ^= rng.choice([1, 0x8000, 0xFFFF, 0x0101]) << 16 * rng.randrange(4)
+        want.append(sum((x >> 16 * j & 0xFFFF) != (y >> 16 * j & 0xFFFF) for x, y in zip(a, b) for j in range(4)))
+        rows.append([i, *(neardup._signed(x) for x in a + b)])
+    names = [p + s for p in ("a_", "b_") for s in neardup._SIG]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in ["i", *names]))
+    got = df.select("i", neardup.symbol_distance("a_", "b_").alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == want
+
+
 def test_blocks_are_exact():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
