@@ -178,7 +178,18 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_UNTOUCHED = "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB between the JVM and Python workers, unless the session says otherwise: each side of each running task holds one or two."""
+    if spark.conf.get(_BATCH, _UNTOUCHED) == _UNTOUCHED:
+        spark.conf.set(_BATCH, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -224,6 +235,7 @@ def _clean() -> None:
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/pinwall/{_RUN}"
     _FOLDERS[folder] = spark
     path = f"{folder}/{uuid.uuid4().hex}"

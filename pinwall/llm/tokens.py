@@ -42,7 +42,7 @@ class ChunkEncoder(dict):
     chunks of other vocabularies, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
