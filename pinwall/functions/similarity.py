@@ -10,6 +10,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, IntegerType, StringType
 
@@ -161,5 +162,10 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def folded(text: Column) -> Column:
+    """NFKC of a text; what is ASCII, and so its own normal form, isn't sent to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-])*")
 WORD_OR_NUMBER = re.compile(r"[^\W_](?:[^\W_]|['’-])*")

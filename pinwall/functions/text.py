@@ -51,8 +51,12 @@ def usable_lines(text: Column) -> Column:
 
 
 def similarity(left: Column, right: Column) -> Column:
-    """1 - Levenshtein / longer length of the normalized lines; 0 if one is empty."""
-    a, b = normalized_line(left), normalized_line(right)
+    """key_similarity of the normalized lines. In joins, normalize before them."""
+    return key_similarity(normalized_line(left), normalized_line(right))
+
+
+def key_similarity(a: Column, b: Column) -> Column:
+    """1 - Levenshtein / longer length; 0 if one is empty."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 

@@ -9,6 +9,7 @@ from pinwall.functions import color as C
 from pinwall.functions import geometry as G
 from pinwall.functions import text as T
 from pinwall.functions.constants import PALETTE
+from pinwall.operators.symbols_text import append_manual
 
 LOW_CONFIDENCE = 70
 HISTORY = 40
@@ -81,9 +82,18 @@ def edit_text(notes: DataFrame, edits: DataFrame) -> DataFrame:
     """Text set by hand (board_id, note_id, new_text): sure, and without corrections."""
     joined = notes.join(edits.select("board_id", "note_id", "new_text"), ["board_id", "note_id"], "left")
     done = F.col("new_text").isNotNull()
+    if "corrections" in notes.columns:
+        joined = joined.withColumn("corrections", F.when(done, F.array().cast(notes.schema["corrections"].dataType)).otherwise(F.col("corrections")))
     return joined.withColumn("text", F.coalesce("new_text", "text")).withColumn("confidence", F.when(done, F.lit(100).cast("long")).otherwise(F.col("confidence"))).drop("new_text")
 
 
+def insert_symbol(notes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A symbol put into a note's text by hand (board_id, note_id, symbol); the text is sure then."""
+    put = notes.join(wanted.select("board_id", "note_id", "symbol"), ["board_id", "note_id"])
+    edits = put.select("board_id", "note_id", append_manual(F.col("text"), F.col("symbol")).alias("new_text"))
+    return edit_text(notes, edits)
+
+
 def restore_original(notes: DataFrame) -> DataFrame:
     """Text and confidence as read, where they were kept."""
     return notes.withColumn("text", F.coalesce("raw_text", "text")).withColumn("confidence", F.coalesce("raw_confidence", "confidence"))
@@ -169,6 +179,21 @@ def history_tail(snapshots: DataFrame, keep: int = HISTORY) -> DataFrame:
     return snapshots.withColumn("back", F.row_number().over(order)).where(F.col("back") <= keep)
 
 
+def push(history: DataFrame, snapshots: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """history (board_id, version, state) after new snapshots (board_id, version): they stand on what is current, what could be redone goes, the last `keep` stay."""
+    boards = snapshots.select("board_id").distinct()
+    changed = history.join(boards, "board_id", "left_semi").where("state <> 'redo'").select("board_id", "version").unionByName(snapshots.select("board_id", "version"))
+    tail = history_tail(changed, keep).withColumn("state", F.when(F.col("back") == 1, "current").otherwise("undo"))
+    return history.join(boards, "board_id", "left_anti").select("board_id", "version", "state").unionByName(tail.select("board_id", "version", "state"))
+
+
+def redo(history: DataFrame) -> DataFrame:
+    """history one version forward, where there is one that was undone: the oldest of those is current."""
+    ahead = F.min(F.when(F.col("state") == "redo", F.col("version"))).over(Window.partitionBy("board_id"))
+    state = F.when(F.col("ahead").isNull(), F.col("state")).when(F.col("version") == F.col("ahead"), "current").when(F.col("version") < F.col("ahead"), "undo").otherwise("redo")
+    return history.withColumn("ahead", ahead).withColumn("state", state).select("board_id", "version", "state")
+
+
 def undo(snapshots: DataFrame) -> DataFrame:
     """Each board one version back: what stands before the newest is current, the newest can be redone."""
     tail = history_tail(snapshots)

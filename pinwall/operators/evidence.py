@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinwall.functions import text as T
-from pinwall.functions.constants import READERS
+from pinwall.functions.constants import PROTECTED_TERMS, READERS
+from pinwall.functions.similarity import folded
 
 NOTE = ["board_id", "note_id"]
 VARIANTS = ("rgb", "contrast", "gray", "sauvola", "ink", "line")
@@ -45,11 +46,12 @@ def simulate(notes: DataFrame) -> DataFrame:
 def retain(evidence: DataFrame) -> DataFrame:
     """Per note and reader the 4 best distinct readings, per line and reader the 2 best.
 
-    Exact for streams of measured readings. Where selected, fused or aggregated readings
+    Texts are equal if their NFKC forms have the same letters and digits. Exact for streams of
+    measured readings. Where selected, fused or aggregated readings
     arrive among them, what is dropped early matters: use fold.fold_evidence.
     """
     group = [*NOTE, "engine", "scope", "line_index"]
-    rows = evidence.withColumn("norm", T.normalized_line(F.col("text")))
+    rows = evidence.withColumn("norm", T.normalized_line(folded(F.col("text"))))
     distinct = rows.withColumn("r", F.row_number().over(Window.partitionBy(*group, "norm").orderBy(F.col("confidence").desc(), "seq"))).where("r = 1")
     # of equals, the text that reached its confidence first stands first
     place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("confidence").desc(), "seq"))
@@ -81,12 +83,18 @@ def variant_matrix(evidence: DataFrame) -> DataFrame:
     return rows.groupBy(*NOTE, "engine").pivot("class", list(VARIANTS)).agg(F.max("confidence"))
 
 
+def pair_similarity(evidence: DataFrame, *keep: str) -> DataFrame:
+    """note, left_seq, right_seq, left_ and right_ of `keep`, similarity: each two readings of a note once, the earlier one left. Texts are normalized once a reading."""
+    rows = evidence.select(*NOTE, "seq", *keep, T.normalized_line(F.col("text")).alias("norm"))
+    left = rows.select(*NOTE, *(F.col(c).alias(f"left_{c}") for c in ("seq", *keep, "norm")))
+    right = rows.select(*NOTE, *(F.col(c).alias(f"right_{c}") for c in ("seq", *keep, "norm")))
+    pairs = left.join(right, NOTE).where("left_seq < right_seq")
+    return pairs.withColumn("similarity", T.key_similarity(F.col("left_norm"), F.col("right_norm"))).drop("left_norm", "right_norm")
+
+
 def pair_agreement(evidence: DataFrame) -> DataFrame:
     """note and the greatest similarity of any two of its readings (0 for a single one)."""
-    a, b = evidence.alias("a"), evidence.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in NOTE]
-    pairs = a.join(b, on[0] & on[1] & (F.col("a.seq") < F.col("b.seq"))).select(*(F.col(f"a.{c}") for c in NOTE), T.similarity(F.col("a.text"), F.col("b.text")).alias("s"))
-    best = pairs.groupBy(*NOTE).agg(F.max("s").alias("agreement"))
+    best = pair_similarity(evidence).groupBy(*NOTE).agg(F.max("similarity").alias("agreement"))
     return evidence.select(*NOTE).distinct().join(best, NOTE, "left").select(*NOTE, F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
 
 
@@ -97,16 +105,47 @@ def best_reading(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("quality", quality).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def weak_notes(evidence: DataFrame) -> DataFrame:
-    """Notes that need another reading: little agreement, poor text, or unsure and not well confirmed."""
-    joined = best_reading(evidence).join(pair_agreement(evidence), NOTE)
+def weak_notes(evidence: DataFrame, fused: DataFrame) -> DataFrame:
+    """Notes that need another reading: little agreement, poor text, or unsure and not well confirmed.
+
+    The fused reading (fused: note, text, confidence) is judged, or the best single one of a
+    note that has none.
+    """
+    best = best_reading(evidence).select(*NOTE, F.col("text").alias("b_text"), F.col("confidence").cast("long").alias("b_confidence"))
+    mine = fused.select(*NOTE, F.col("text").alias("f_text"), F.col("confidence").cast("long").alias("f_confidence"))
+    current = best.join(mine, NOTE, "left").select(*NOTE, F.coalesce("f_text", "b_text").alias("text"), F.when(F.col("f_text").isNotNull(), F.col("f_confidence")).otherwise(F.col("b_confidence")).alias("confidence"))
+    joined = current.withColumn("quality", T.text_quality(F.col("text"), F.col("confidence"))).join(pair_agreement(evidence), NOTE)
     weak = (F.col("agreement") < 0.62) | (F.col("quality") < 62) | ((F.col("confidence") < 74) & (F.col("agreement") < 0.86))
     return joined.select(*NOTE, "agreement", "quality", "confidence", weak.alias("weak"))
 
 
+def stability(evidence: DataFrame, selected: DataFrame) -> DataFrame:
+    """note, stability: the greatest similarity of its selected text (selected: note, text) to its readings, 0 without any. Leave the selected reading itself out of evidence if it is one of them."""
+    mine = selected.select(*NOTE, T.normalized_line(F.col("text")).alias("a"))
+    peers = evidence.select(*NOTE, T.normalized_line(F.col("text")).alias("b"))
+    best = mine.join(peers, NOTE, "left").groupBy(*NOTE).agg(F.max(T.key_similarity(F.col("a"), F.col("b"))).alias("s"))
+    return best.select(*NOTE, F.coalesce("s", F.lit(0.0)).alias("stability"))
+
+
+def visual_context(notes: DataFrame, bands: DataFrame) -> DataFrame:
+    """note, expected_lines, expected_chars: what its text bands (note, width, height) let expect; one line and two characters without any."""
+    wide = T.clamp(F.col("width") / F.greatest(F.lit(1.0), F.col("height")) * 2.2, 2.0, 18.0)
+    seen = bands.groupBy(*NOTE).agg(F.count(F.lit(1)).alias("n"), F.sum(wide).alias("chars"))
+    out = notes.select(*NOTE).distinct().join(seen, NOTE, "left")
+    lines, chars = F.greatest(F.lit(1), F.coalesce("n", F.lit(0))), F.greatest(F.lit(2), T.js_round(F.coalesce("chars", F.lit(0.0))))
+    return out.select(*NOTE, lines.cast("int").alias("expected_lines"), chars.cast("int").alias("expected_chars"))
+
+
+def second_pass(best: DataFrame, least_ms: int = 2500) -> DataFrame:
+    """Whether the slow reader reads a note once more; best has its text, confidence, assessment, the current text and the budget left (budget_ms)."""
+    apart = F.col("current_text").isNotNull() & (T.similarity(F.col("current_text"), F.col("text")) < 0.48)
+    unsure = F.col("text").isNull() | (F.col("confidence") < 62) | (F.col("assessment") < 0.62) | F.coalesce(apart, F.lit(False))
+    return best.withColumn("second_pass", unsure & (F.col("budget_ms") >= least_ms))
+
+
 def exact_vote(evidence: DataFrame) -> DataFrame:
     """Distinct texts of a note ranked by how many readers, then sources, then confidence stand behind them; confirmed: two readers or more and no equal rival."""
-    rows = evidence.where((F.col("scope") == "note") & (F.trim("text") != "")).withColumn("norm", T.normalized_text(F.col("text")))
+    rows = evidence.where((F.col("scope") == "note") & (F.trim("text") != "")).withColumn("norm", T.normalized_text(folded(F.col("text"))))
     measured = ~is_selected(F.col("variant"))
     any_measured = F.max(measured.cast("int")).over(Window.partitionBy(*NOTE, "norm")) == 1
     counted = rows.withColumn("measured", measured).withColumn("any_measured", any_measured)
@@ -126,14 +165,14 @@ def exact_vote(evidence: DataFrame) -> DataFrame:
 
 
 def assessed(evidence: DataFrame, lexicon: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """evidence with n_words, n_known (words that the lexicon has) and assessment; context may give expected_lines and expected_chars of notes.
+    """evidence with n_words, n_known (words that the lexicon or the protected terms have) and assessment; context may give expected_lines and expected_chars of notes.
 
     lexicon has one column, word, in lower case. Words are exploded and joined to it, so its
     size doesn't matter; counts come back by reading.
     """
     key = [*NOTE, "seq"]
     spread = evidence.select(*key, F.explode(T.words(F.col("text"))).alias("w")).select(*key, F.lower("w").alias("word"))
-    known = spread.join(lexicon.select("word").distinct().withColumn("hit", F.lit(1)), "word", "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_words"), F.count("hit").alias("n_known"))
+    known = spread.join(lexicon.select("word").distinct().withColumn("hit", F.lit(1)), "word", "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("hit").isNotNull() | F.col("word").isin(*PROTECTED_TERMS), 1)).alias("n_known"))
     out = evidence.join(known, key, "left").fillna(0, ["n_words", "n_known"])
     if context is not None:
         out = out.join(context, NOTE, "left")
@@ -147,12 +186,10 @@ def collapse_readers(evidence: DataFrame, lexicon: DataFrame) -> DataFrame:
     whole = evidence.where((F.col("scope") == "note") & (F.size(T.usable_lines(F.col("text"))) > 0))
     context = whole.groupBy(*NOTE).agg(F.max(F.size(T.usable_lines(F.col("text")))).alias("expected_lines"), F.max(F.greatest(F.lit(1), F.length(T.normalized_line(F.col("text"))))).alias("expected_chars"))
     rows = assessed(whole, lexicon, context)
-    peer = whole.select(*(F.col(c).alias(f"p_{c}") for c in (*NOTE, "seq", "engine", "text")))
-    on = (F.col("board_id") == F.col("p_board_id")) & (F.col("note_id") == F.col("p_note_id")) & (F.col("seq") != F.col("p_seq"))
-    s = T.similarity(F.col("text"), F.col("p_text"))
-    near = whole.join(peer, on).groupBy(*NOTE, "seq").agg(
-        F.max(F.when(F.col("engine") == F.col("p_engine"), s)).alias("same"), F.max(F.when(F.col("engine") != F.col("p_engine"), s)).alias("cross")
-    )
+    pairs = pair_similarity(whole, "engine")
+    same = F.col("left_engine") == F.col("right_engine")
+    sides = pairs.select(*NOTE, F.explode(F.array("left_seq", "right_seq")).alias("seq"), F.when(same, F.col("similarity")).alias("s"), F.when(~same, F.col("similarity")).alias("c"))
+    near = sides.groupBy(*NOTE, "seq").agg(F.max("s").alias("same"), F.max("c").alias("cross"))
     score = (
         F.col("assessment") * 2.4
         + F.coalesce("same", F.lit(0.0)) * 0.55

@@ -8,7 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from pinwall.functions.constants import SHORT_LABELS
+from pinwall.functions.constants import PROTECTED_TERMS, SHORT_LABELS
 from pinwall.functions.similarity import line_key, similarity
 
 _WORD = regex.compile(r"[\p{L}][\p{L}'’-]*")
@@ -223,7 +223,7 @@ def fuse_notes(evidence: DataFrame, lexicon: DataFrame, context: DataFrame | Non
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         first = g["known"].iloc[0]
-        have = frozenset(first) if first is not None else frozenset()
+        have = frozenset([*(first if first is not None else ()), *PROTECTED_TERMS])
         out = []
         for note, rows in g.sort_values("seq").groupby("note_id", sort=True):
             lines, chars = rows["expected_lines"].iloc[0], rows["expected_chars"].iloc[0]

@@ -51,8 +51,8 @@ def read_notes(notes: DataFrame, first: DataFrame, more: list, lexicons: DataFra
 
     first: evidence of the first reader; more: functions from weak notes to further evidence.
     """
-    seen = readers.cascade(first, more)
     words = lexicons.select("word")
+    seen = readers.cascade(first, more, words)
     selected = fusion.fuse_notes(seen, words).select("board_id", "note_id", "text", "confidence", "engine")
     raw = correction.assemble(notes, selected)
     fixed = correction.correct_notes(raw.where("engine <> 'none'"), seen, lexicons)

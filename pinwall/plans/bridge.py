@@ -52,17 +52,23 @@ EDGES = """edges AS (SELECT DISTINCT l_partkey // 20 AS board_id, l_partkey AS s
 
 _READERS = ("paddle", "dehtr", "tesseract")
 _VARIANTS = ("rgb", "contrast", "gray")
+#: A letter whose NFKC form is a plain a.
+WIDE = "\uff41"
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine readings a note: each reader misreads other letters, each variant drops or doubles something."""
+    """Nine readings a note: each reader misreads other letters, each variant drops or doubles something.
+
+    Every sixth note ends in protected terms, and the gray variant of every sixth has full-width letters.
+    """
     n = notes(spark, sf_dir)
     reads = []
     for i, reader in enumerate(_READERS):
         src, dst = (("o", "0"), ("rn", "m"), ("l", "1"))[i]
         for j, variant in enumerate(_VARIANTS):
-            base = F.regexp_replace("text", src, dst)
-            text = (base, F.regexp_replace(base, "e", "c"), F.concat(base, F.lit(" x")))[j]
+            k = F.col("note_id") % 6
+            base = F.concat(F.regexp_replace("text", src, dst), F.when(k == 1, " kanban api").otherwise(""))
+            text = (base, F.regexp_replace(base, "e", "c"), F.when(k == 0, F.regexp_replace(base, "a", WIDE)).otherwise(F.concat(base, F.lit(" x"))))[j]
             conf = (F.col("note_id") * (7 + i) + F.lit(13 * j + 5 * i)) % 60 + 40
             reads.append(F.struct(F.lit(i * 3 + j).cast("long").alias("seq"), F.lit(reader).alias("engine"), F.lit(f"{reader}-{variant}").alias("variant"), text.alias("text"), conf.alias("confidence")))
     out = n.select("board_id", "note_id", F.explode(F.array(*reads)).alias("r"))
@@ -74,8 +80,8 @@ def _evidence_sql() -> str:
     for i, reader in enumerate(_READERS):
         src, dst = (("o", "0"), ("rn", "m"), ("l", "1"))[i]
         for j, variant in enumerate(_VARIANTS):
-            base = f"replace(text, '{src}', '{dst}')"
-            text = (base, f"replace({base}, 'e', 'c')", f"{base} || ' x'")[j]
+            base = f"(replace(text, '{src}', '{dst}') || CASE WHEN note_id % 6 = 1 THEN ' kanban api' ELSE '' END)"
+            text = (base, f"replace({base}, 'e', 'c')", f"CASE WHEN note_id % 6 = 0 THEN replace({base}, 'a', '{WIDE}') ELSE {base} || ' x' END")[j]
             parts.append(
                 f"SELECT board_id, note_id, {i * 3 + j}::BIGINT AS seq, '{reader}' AS engine, '{reader}-{variant}' AS variant, 'note' AS scope, {text} AS text, (note_id * {7 + i} + {13 * j + 5 * i}) % 60 + 40 AS confidence FROM notes"
             )

@@ -7,24 +7,20 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pinwall.operators import boards as B
-from pinwall.operators import correction, crops, ctc, fold, fusion, layout, recovery, segmentation, symbols
+from pinwall.operators import correction, crops, ctc, fold, layout, recovery, segmentation, symbols
 from pinwall.operators import symbols_text as X
-from pinwall.plans.bridge import EVIDENCE, NOTES, evidence, lexicon, notes, table
+from pinwall.plans.bridge import EVIDENCE, NOTES, WIDE, evidence, lexicon, notes, table
 from pinwall.sources import exports
 
 _CLASSES, _ALPHABET = 8, "abcdefg"
 
 
-def fuse_lines(spark, sf):
-    return fusion.fuse_notes(evidence(spark, sf), lexicon(spark, sf))
-
-
 def fold_evidence(spark, sf):
     return fold.fold_evidence(evidence(spark, sf)).drop("board_id", "place", "variant", "scope", "line_index")
 
 
 # the fold of measured readings is the two windows of evidence_retention
-FOLD_EVIDENCE = f"""WITH {NOTES}, {EVIDENCE}, n AS (SELECT *, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS norm FROM evidence),
+FOLD_EVIDENCE = f"""WITH {NOTES}, {EVIDENCE}, n AS (SELECT *, regexp_replace(lower(replace(text, '{WIDE}', 'a')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS norm FROM evidence),
 d AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine, norm ORDER BY confidence DESC, seq) AS r FROM n),
 p AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY confidence DESC, seq) AS place FROM d WHERE r = 1) SELECT note_id, seq, engine, text, confidence FROM p WHERE place <= 4"""
 
@@ -36,7 +32,7 @@ def correct_text(spark, sf):
 
 
 def suggest_words(spark, sf):
-    seen = evidence(spark, sf).select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("length(word) > 3")
+    seen = evidence(spark, sf).select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where("word <> ''")
     found = correction.suggestions(seen, lexicon(spark, sf).select(F.lit("en").alias("lang"), "word"))
     return found.select("word", "suggestion", F.col("edits").cast("long").alias("edits"))
 
@@ -175,7 +171,6 @@ def recognize_symbols(spark, sf):
 
 
 PAIRS = {
-    "fuse_lines": (fuse_lines, None),
     "fold_evidence": (fold_evidence, FOLD_EVIDENCE),
     "correct_text": (correct_text, None),
     "suggest_words": (suggest_words, None),

@@ -9,7 +9,9 @@ from pinwall.functions import text as T
 from pinwall.operators import boards as B
 from pinwall.operators import evidence as E
 from pinwall.operators import vocabulary as V
-from pinwall.plans.bridge import EVIDENCE, LEXICON, NOTES, evidence, lexicon, notes, simulated, table
+from pinwall.functions.constants import PROTECTED_TERMS
+from pinwall.operators import fusion
+from pinwall.plans.bridge import EVIDENCE, LEXICON, NOTES, WIDE, evidence, lexicon, notes, simulated, table
 
 _BASE = f"WITH {NOTES}, {EVIDENCE}"
 
@@ -26,8 +28,18 @@ def _words(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
+def _fold(x: str) -> str:
+    """NFKC of the derived readings: they have one letter that isn't its own form."""
+    return f"replace({x}, '{WIDE}', 'a')"
+
+
+def _one_byte(x: str) -> str:
+    """DuckDB's levenshtein counts bytes: the letter that has more is written as a character that normalized texts don't have."""
+    return f"replace({x}, '{WIDE}', '~')"
+
+
 def _sim(a: str, b: str) -> str:
-    a, b = _norm(a), _norm(b)
+    a, b = _one_byte(_norm(a)), _one_byte(_norm(b))
     return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 
 
@@ -81,24 +93,12 @@ SELECT note_id, engine, CASE engine WHEN 'paddle' THEN CASE WHEN text ILIKE '%o%
 
 
 def variant_similarity(spark, sf):
-    e = evidence(spark, sf)
-    a, b = e.alias("a"), e.alias("b")
-    j = a.join(b, (F.col("a.note_id") == F.col("b.note_id")) & (F.col("a.board_id") == F.col("b.board_id")) & (F.col("a.seq") < F.col("b.seq")))
-    return _r(j.select("a.note_id", F.col("a.seq").alias("left_seq"), F.col("b.seq").alias("right_seq"), T.similarity(F.col("a.text"), F.col("b.text")).alias("similarity")), "similarity")
+    return _r(E.pair_similarity(evidence(spark, sf)).drop("board_id"), "similarity")
 
 
 VARIANT_SIMILARITY = _BASE + f" SELECT a.note_id, a.seq AS left_seq, b.seq AS right_seq, round({_sim('a.text', 'b.text')}, 4) AS similarity FROM evidence a JOIN evidence b ON a.note_id = b.note_id AND a.seq < b.seq"
 
 
-def weak_gate(spark, sf):
-    return _r(E.weak_notes(evidence(spark, sf)).select("note_id", "agreement", "quality", "weak"), "agreement", "quality")
-
-
-WEAK_GATE = _BASE + f""", p AS (SELECT a.note_id, max({_sim('a.text', 'b.text')}) AS agreement FROM evidence a JOIN evidence b ON a.note_id = b.note_id AND a.seq < b.seq GROUP BY a.note_id),
-q AS (SELECT *, {_quality('text', 'confidence')} AS quality FROM evidence), b AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY quality DESC, seq) AS r FROM q)
-SELECT b.note_id, round(agreement, 4) AS agreement, round(quality, 4) AS quality, agreement < 0.62 OR quality < 62 OR (confidence < 74 AND agreement < 0.86) AS weak FROM b JOIN p ON b.note_id = p.note_id WHERE r = 1"""
-
-
 def variant_matrix(spark, sf):
     return E.variant_matrix(evidence(spark, sf)).drop("board_id")
 
@@ -118,7 +118,7 @@ def evidence_retention(spark, sf):
     return E.retain(evidence(spark, sf)).select("note_id", "engine", "seq", "text", "confidence")
 
 
-EVIDENCE_RETENTION = _BASE + f""", n AS (SELECT *, {_norm('text')} AS norm FROM evidence), d AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine, norm ORDER BY confidence DESC, seq) AS r FROM n),
+EVIDENCE_RETENTION = _BASE + f""", n AS (SELECT *, {_norm(_fold('text'))} AS norm FROM evidence), d AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine, norm ORDER BY confidence DESC, seq) AS r FROM n),
 p AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY confidence DESC, seq) AS place FROM d WHERE r = 1) SELECT note_id, engine, seq, text, confidence FROM p WHERE place <= 4"""
 
 
@@ -127,18 +127,19 @@ def exact_vote(spark, sf):
     return _r(v, "confidence")
 
 
-EXACT_VOTE = _BASE + f""", g AS (SELECT note_id, {_words('text')} AS norm, count(DISTINCT engine) AS engines, count(DISTINCT engine || ':' || variant) AS sources, avg(confidence) AS confidence, min(seq) AS seq FROM evidence GROUP BY ALL),
+EXACT_VOTE = _BASE + f""", g AS (SELECT note_id, {_words(_fold('text'))} AS norm, count(DISTINCT engine) AS engines, count(DISTINCT engine || ':' || variant) AS sources, avg(confidence) AS confidence, min(seq) AS seq FROM evidence GROUP BY ALL),
 r AS (SELECT *, row_number() OVER w AS place, lead(engines) OVER w AS e2, lead(sources) OVER w AS s2 FROM g WINDOW w AS (PARTITION BY note_id ORDER BY engines DESC, sources DESC, confidence DESC, seq))
 SELECT note_id, norm, engines, sources, round(confidence, 4) AS confidence, place, place = 1 AND engines >= 2 AND (e2 IS NULL OR engines > e2 OR (engines = e2 AND sources > s2)) AS confirmed FROM r"""
 
 _ASSESS = (
-    """k AS (SELECT note_id, seq, count(*) AS n_words, count(l.word) AS n_known FROM (SELECT note_id, seq, unnest(regexp_extract_all(text, '[\\p{L}][\\p{L}''’-]*')) AS w FROM evidence) e LEFT JOIN lexicon l ON lower(e.w) = l.word GROUP BY note_id, seq),
+    """k AS (SELECT note_id, seq, count(*) AS n_words, count(*) FILTER (l.word IS NOT NULL OR lower(e.w) IN (%t)) AS n_known FROM (SELECT note_id, seq, unnest(regexp_extract_all(text, '[\\p{L}][\\p{L}''’-]*')) AS w FROM evidence) e LEFT JOIN lexicon l ON lower(e.w) = l.word GROUP BY note_id, seq),
 x AS (SELECT e.*, coalesce(n_words, 0) AS n, coalesce(n_known, 0) AS known, regexp_extract_all(text, '[\\p{L}][\\p{L}''’-]*') AS ws, len(%s) AS lines, length(%s) AS chars FROM evidence e LEFT JOIN k ON e.note_id = k.note_id AND e.seq = k.seq),
 c AS (SELECT note_id, max(lines) AS el, max(greatest(1, chars)) AS ec FROM x WHERE lines > 0 GROUP BY note_id),
 s AS (SELECT x.*, ec, CASE WHEN lines = 0 OR n = 0 THEN 0.0::DOUBLE ELSE least(greatest(0.26::DOUBLE + known::DOUBLE / n * 0.2 + least(chars::DOUBLE / ec, 1) * 0.2 + least(lines::DOUBLE / el, 1) * 0.1 + confidence / 100.0::DOUBLE * 0.08 + least(chars / 8.0::DOUBLE, 1) * 0.12
  - len(list_filter(ws, lambda w: length(w) <= 2 AND lower(w) NOT IN ('ai', 'api', 'hr', 'it', 'qa', 'ui', 'ux')))::DOUBLE / n * 0.24 - len(list_filter(ws, lambda w: length(w) >= 5 AND NOT regexp_matches(lower(w), '[aeiouyäöü]')))::DOUBLE / n * 0.16
  - len(regexp_extract_all(text, '[^\\p{L}\\p{N}\\s.,:;!?()/&+%%#@-]'))::DOUBLE / greatest(1, length(text)) * 0.45, 0), 1) END AS assessment FROM x JOIN c ON x.note_id = c.note_id)"""
     .replace("%%", "%")
+    .replace("%t", ", ".join(f"'{t}'" for t in PROTECTED_TERMS))
     .replace("%s", _LINES.replace("@T", "text"), 1)
     .replace("%s", _norm("text"), 1)
 )
@@ -166,9 +167,76 @@ f AS (SELECT s.*, assessment * 2.4 + coalesce(same, 0) * 0.55 + coalesce(crossed
 r AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY score DESC, seq) AS place FROM f) SELECT note_id, engine, seq, round(score, 6) AS score FROM r WHERE place = 1"""
 
 
+# the fusion of one-line readings, as the derived ones are: one reading for each reader, one slot, no gaps
+_FUSED = f"""{_ASSESS}, m AS (SELECT a.note_id, a.seq, max(CASE WHEN a.engine = b.engine THEN {_sim('a.text', 'b.text')} END) AS same, max(CASE WHEN a.engine <> b.engine THEN {_sim('a.text', 'b.text')} END) AS crossed
+ FROM evidence a JOIN evidence b ON a.note_id = b.note_id AND a.seq <> b.seq GROUP BY a.note_id, a.seq),
+f AS (SELECT s.*, assessment * 2.4 + coalesce(same, 0) * 0.55 + coalesce(crossed, 0) * 2 + least(lines, 6) * 0.06 + least(chars::DOUBLE / ec, 1) * 0.16 AS score FROM s LEFT JOIN m ON s.note_id = m.note_id AND s.seq = m.seq WHERE lines > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY note_id, engine ORDER BY score DESC, seq) AS place FROM f),
+z AS (SELECT board_id, note_id, seq, engine, text, confidence, row_number() OVER (PARTITION BY note_id ORDER BY seq) - 1 AS i, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\s.,:;!?()/&+%#@-]'))::DOUBLE / greatest(1, length(text)) AS junk,
+ len(list_filter(ws, lambda w: length(w) <= 2 AND lower(w) NOT IN ('ai', 'api', 'hr', 'it', 'qa', 'ui', 'ux')))::DOUBLE / n AS short, len(list_filter(ws, lambda w: length(w) >= 5 AND NOT regexp_matches(lower(w), '[aeiouyäöü]')))::DOUBLE / n AS mute,
+ known::DOUBLE / n AS share, n, least(chars::DOUBLE / least(8, greatest(4, chars)), 1) AS fill, least(chars / 8.0::DOUBLE, 1) AS size FROM r WHERE place = 1),
+u AS (SELECT *, least(greatest(0.26::DOUBLE + 0.2 * share + 0.2 * fill + 0.1 + 0.08 * confidence / 100.0::DOUBLE + 0.12 * size - (0.24 * short + 0.16 * mute + 0.45 * junk), 0), 1) AS a0,
+ 0.38::DOUBLE * share - 2.6 * junk + 0.1 * confidence / 100.0::DOUBLE + 0.035 * least(n, 6) AS worth FROM z),
+q AS (SELECT a.note_id, a.i, max({_sim('a.text', 'b.text')}) AS best, avg({_sim('a.text', 'b.text')}) AS mean FROM u a JOIN u b ON a.note_id = b.note_id AND a.i <> b.i GROUP BY ALL),
+o AS (SELECT u.*, best, 3 * a0 + 0.04 + worth + 1.2 * best + 0.7 * best AS doc, worth + 1.8 * a0 + 1.4 * mean + 0.75 * best AS merit FROM u JOIN q ON u.note_id = q.note_id AND u.i = q.i),
+d AS (SELECT note_id, max(doc) FILTER (i = 0) AS s0, max(doc) FILTER (i = 1) AS s1, max(doc) FILTER (i = 2) AS s2 FROM o GROUP BY note_id),
+h AS (SELECT note_id, CASE WHEN s2 - CASE WHEN s1 - s0 > 0.001 THEN s1 ELSE s0 END > 0.001 THEN 2 WHEN s1 - s0 > 0.001 THEN 1 ELSE 0 END AS anchor FROM d),
+t AS (SELECT o.*, row_number() OVER (PARTITION BY o.note_id ORDER BY merit DESC, i <> anchor, i) AS place FROM o JOIN h ON o.note_id = h.note_id),
+v AS (SELECT t.note_id, count(*) AS support FROM t JOIN u ON t.note_id = u.note_id AND {_sim('t.text', 'u.text')} >= 0.35 WHERE t.place = 1 GROUP BY t.note_id),
+fused AS (SELECT t.board_id, t.note_id, t.text, floor(CASE WHEN support >= 2 AND best >= 0.6 THEN least(greatest(38 + 38 * best + 18 * a0, 35), 96) ELSE least(greatest(18 + 48 * a0 + 0.18 * confidence, 15), 82) END + 0.5)::BIGINT AS confidence,
+ engine, 'variant-fusion' AS variant, best AS agreement, support AS supporting_engines, a0 AS quality, support < 2 OR best < 0.55 OR a0 < 0.62 AS needs_review FROM t JOIN v ON t.note_id = v.note_id WHERE t.place = 1)"""
+
+
+def fuse_lines(spark, sf):
+    return _r(fusion.fuse_notes(evidence(spark, sf), lexicon(spark, sf)), "agreement", "quality")
+
+
+FUSE_LINES = _BASE + f", {LEXICON}, {_FUSED} SELECT * REPLACE (round(agreement, 4) AS agreement, round(quality, 4) AS quality) FROM fused"
+
+
+def weak_gate(spark, sf):
+    e = evidence(spark, sf)
+    return _r(E.weak_notes(e, fusion.fuse_notes(e, lexicon(spark, sf))).select("note_id", "agreement", "quality", "confidence", "weak"), "agreement", "quality")
+
+
+WEAK_GATE = _BASE + f""", {LEXICON}, {_FUSED}, p AS (SELECT a.note_id, max({_sim('a.text', 'b.text')}) AS pairs FROM evidence a JOIN evidence b ON a.note_id = b.note_id AND a.seq < b.seq GROUP BY a.note_id),
+w AS (SELECT fused.note_id, pairs, confidence, {_quality('text', 'confidence')} AS judged FROM fused JOIN p ON fused.note_id = p.note_id)
+SELECT note_id, round(pairs, 4) AS agreement, round(judged, 4) AS quality, confidence, pairs < 0.62 OR judged < 62 OR (confidence < 74 AND pairs < 0.86) AS weak FROM w"""
+
+
+def stability(spark, sf):
+    e = evidence(spark, sf)
+    return _r(E.stability(e, fusion.fuse_notes(e, lexicon(spark, sf))).drop("board_id"), "stability")
+
+
+STABILITY = _BASE + f", {LEXICON}, {_FUSED} SELECT fused.note_id, round(max({_sim('fused.text', 'e.text')}), 4) AS stability FROM fused JOIN evidence e ON fused.note_id = e.note_id GROUP BY fused.note_id"
+
+
+def visual_context(spark, sf):
+    k = F.col("l_partkey")
+    bands = table(spark, sf, "lineitem").select(F.floor(k / 20).alias("board_id"), k.alias("note_id"), (F.col("l_quantity") * 4).alias("width"), (F.col("l_linenumber") * 3.0).alias("height"))
+    return E.visual_context(notes(spark, sf), bands.where("note_id % 10 > 0"))
+
+
+VISUAL_CONTEXT = f"""WITH {NOTES}, b AS (SELECT l_partkey AS note_id, count(*) AS n, sum(least(greatest(l_quantity * 4 / greatest(1, l_linenumber * 3) * 2.2::DOUBLE, 2), 18)) AS chars FROM lineitem WHERE l_partkey % 10 > 0 GROUP BY l_partkey)
+SELECT board_id, notes.note_id, greatest(1, coalesce(n, 0))::INT AS expected_lines, greatest(2, floor(coalesce(chars, 0) + 0.5))::INT AS expected_chars FROM notes LEFT JOIN b ON notes.note_id = b.note_id"""
+
+
+def second_pass(spark, sf):
+    e = evidence(spark, sf)
+    a = E.assessed(e, lexicon(spark, sf), _context(e)).select("note_id", "seq", "text", "confidence", "assessment")
+    cur = a.where("seq = 0").select("note_id", F.when(F.col("note_id") % 9 > 0, F.col("text")).alias("current_text"))
+    best = a.where("seq = 7").select("note_id", F.when(F.col("note_id") % 14 > 0, F.col("text")).alias("text"), "confidence", "assessment", (F.col("note_id") % 5 * 1000).alias("budget_ms"))
+    return E.second_pass(cur.join(best, "note_id")).select("note_id", "second_pass")
+
+
+SECOND_PASS = _BASE + f""", {LEXICON}, {_ASSESS}, j AS (SELECT a.note_id, CASE WHEN a.note_id % 9 > 0 THEN a.text END AS ct, CASE WHEN b.note_id % 14 > 0 THEN b.text END AS bt, b.confidence, b.assessment, a.note_id % 5 * 1000 AS ms FROM s a JOIN s b ON a.note_id = b.note_id AND a.seq = 0 AND b.seq = 7)
+SELECT note_id, (bt IS NULL OR confidence < 62 OR assessment < 0.62 OR (ct IS NOT NULL AND {_sim('ct', 'bt')} < 0.48)) AND ms >= 2500 AS second_pass FROM j"""
+
+
 def _line_rows(spark, sf):
     d = table(spark, sf, "conversations").select(F.col("conv_id").alias("board_id"), F.col("conv_id").alias("note_id"), (F.col("turn") % 4).cast("int").alias("line_index"), F.col("turn").alias("seq"), "text")
-    return d.withColumn("engine", F.lit("paddle")).withColumn("confidence", (F.col("seq") * 17 + F.col("note_id")) % 60 + 40).dropDuplicates(["note_id", "seq"])
+    return d.withColumn("engine", F.lit("paddle")).withColumn("confidence", (F.col("seq") * 17 + F.col("note_id")) % 60 + 40)
 
 
 def line_aggregate(spark, sf):
@@ -177,8 +245,8 @@ def line_aggregate(spark, sf):
 
 
 _CL = "regexp_replace(" + _CLEAN.replace("@T", "text") + r", '\n+', ' ', 'g')"
-LINE_AGGREGATE = f"""WITH l AS (SELECT conv_id AS note_id, turn % 4 AS i, turn AS seq, {_CL} AS c, (turn * 17 + conv_id) % 60 + 40 AS confidence, row_number() OVER (PARTITION BY conv_id, turn) AS r FROM conversations),
-g AS (SELECT note_id, string_agg(c, chr(10) ORDER BY i, seq) AS t, floor(sum(confidence * greatest(1, length(c)))::DOUBLE / sum(greatest(1, length(c))) + 0.5)::BIGINT AS confidence FROM l WHERE r = 1 GROUP BY note_id)
+LINE_AGGREGATE = f"""WITH l AS (SELECT conv_id AS note_id, turn % 4 AS i, turn AS seq, {_CL} AS c, (turn * 17 + conv_id) % 60 + 40 AS confidence FROM conversations),
+g AS (SELECT note_id, string_agg(c, chr(10) ORDER BY i, seq, c) AS t, floor(sum(confidence * greatest(1, length(c)))::DOUBLE / sum(greatest(1, length(c))) + 0.5)::BIGINT AS confidence FROM l GROUP BY note_id)
 SELECT note_id, md5({_CLEAN.replace('@T', 't')}) AS hash, confidence FROM g"""
 
 
@@ -232,7 +300,7 @@ def vote_metrics(spark, sf):
     return out.drop("board_id").withColumn("completeness", F.col("completeness").cast("long"))
 
 
-VOTE_METRICS = _BASE + f""", j AS (SELECT e.note_id, e.seq, e.engine, e.confidence, {_words('e.text')} AS a, {_words('n.text')} AS b FROM evidence e JOIN notes n ON e.note_id = n.note_id)
+VOTE_METRICS = _BASE + f""", j AS (SELECT e.note_id, e.seq, e.engine, e.confidence, {_one_byte(_words('e.text'))} AS a, {_words('n.text')} AS b FROM evidence e JOIN notes n ON e.note_id = n.note_id)
 SELECT note_id, seq, engine, confidence, floor(least(length(a)::DOUBLE / greatest(1, length(b)) * 100, 100) + 0.5)::BIGINT AS completeness, least(greatest(floor((1 - levenshtein(a, b)::DOUBLE / greatest(1, length(a), length(b))) * 100 + 0.5), 0), 100)::BIGINT AS agreement FROM j"""
 
 
@@ -307,7 +375,11 @@ PAIRS = {
     "text_quality": (text_quality, TEXT_QUALITY),
     "simulated_readers": (simulated_readers, SIMULATED_READERS),
     "variant_similarity": (variant_similarity, VARIANT_SIMILARITY),
+    "fuse_lines": (fuse_lines, FUSE_LINES),
     "weak_gate": (weak_gate, WEAK_GATE),
+    "stability": (stability, STABILITY),
+    "visual_context": (visual_context, VISUAL_CONTEXT),
+    "second_pass": (second_pass, SECOND_PASS),
     "variant_matrix": (variant_matrix, VARIANT_MATRIX),
     "reader_top2": (reader_top2, READER_TOP2),
     "evidence_retention": (evidence_retention, EVIDENCE_RETENTION),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pinwall.functions import text as T
 from pinwall.operators import ctc
 from pinwall.operators import evidence as E
+from pinwall.operators import fusion
 
 SCHEMA = "board_id long, note_id long, seq long, engine string, variant string, scope string, line_index int, text string, confidence long, status string, error string"
 
@@ -123,10 +124,10 @@ def group_items(items: DataFrame) -> DataFrame:
     return rows.groupBy("board_id", "note_id", "variant").applyInPandas(run, "board_id long, note_id long, variant string, text string, confidence long")
 
 
-def cascade(first: DataFrame, more: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Evidence from readers in turn: each next one reads only the notes that are still weak (board_id, note_id) after those before."""
+def cascade(first: DataFrame, more: list[Callable[[DataFrame], DataFrame]], lexicon: DataFrame) -> DataFrame:
+    """Evidence from readers in turn: each next one reads only the notes (board_id, note_id) whose fused reading is still weak after those before. A reader may return several variants, which are judged together."""
     evidence = first
     for read in more:
-        weak = E.weak_notes(evidence).where("weak").select(*E.NOTE)
+        weak = E.weak_notes(evidence, fusion.fuse_notes(evidence, lexicon)).where("weak").select(*E.NOTE)
         evidence = evidence.unionByName(read(weak))
     return evidence

@@ -64,6 +64,52 @@ def test_windows_equal_the_fold_for_measured_readings(spark):
     assert pick(evidence.retain(df)) == pick(fold.fold_evidence(df))
 
 
+def test_compatible_characters_are_the_same_reading(spark):
+    rows = [(1, 1, 0, "paddle", "rgb", "note", None, "\ufb01le \uff11\uff12", 80), (1, 1, 1, "paddle", "gray", "note", None, "file 12", 70), (1, 1, 2, "dehtr", "line", "note", None, "File 12", 60)]
+    df = spark.createDataFrame(rows, EVIDENCE)
+    kept = sorted(map(tuple, evidence.retain(df).select("engine", "seq").collect()))
+    assert kept == [("dehtr", 2), ("paddle", 0)] == sorted((r.engine, r.seq) for r in fold.fold_evidence(df).collect())
+    [vote] = evidence.exact_vote(df).collect()
+    assert (vote.norm, vote.engines, vote.sources, vote.confirmed) == ("file 12", 2, 3, True)
+
+
+def test_protected_terms_are_known(spark):
+    rows = [(1, 1, 0, "paddle", "rgb", "note", None, "Kanban API", 80)]
+    lexicon = spark.createDataFrame([("order",)], "word string")
+    [r] = evidence.assessed(spark.createDataFrame(rows, EVIDENCE), lexicon).collect()
+    assert (r.n_words, r.n_known) == (2, 2)
+    [f] = fusion.fuse_notes(spark.createDataFrame(rows, EVIDENCE), lexicon).collect()
+    assert f.quality == pytest.approx(r.assessment)
+
+
+def test_the_weak_gate_judges_the_fused_reading(spark):
+    """Neither reading is complete; fused they are good enough, which the best single one isn't."""
+    rows = [(1, 1, 0, "paddle", "rgb", "note", None, "new order", 60), (1, 1, 1, "dehtr", "line", "note", None, "new order", 58), (1, 2, 0, "paddle", "rgb", "note", None, "xk qz", 60), (1, 2, 1, "dehtr", "line", "note", None, "team plan", 58)]
+    df = spark.createDataFrame(rows, EVIDENCE)
+    lexicon = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    fused = fusion.fuse_notes(df, lexicon)
+    got = {r.note_id: (r.weak, r.confidence) for r in evidence.weak_notes(df, fused).collect()}
+    assert got[1] == (False, {r.note_id: r.confidence for r in fused.collect()}[1]) and got[2][0]
+    alone = {r.note_id: (r.quality, r.confidence) for r in evidence.weak_notes(df, fused.limit(0)).collect()}
+    assert alone[1][1] == 60 and alone[1][0] < 64
+
+
+def test_undo_redo_and_push(spark):
+    snapshots = spark.createDataFrame([(b, v) for b in (1, 2) for v in range(1, 5)], "board_id long, version long")
+    undone = boards.undo(snapshots).select("board_id", "version", "state")
+    state = lambda d: {(r.board_id, r.version): r.state for r in d.collect()}
+    assert state(undone)[1, 3] == "current" and state(undone)[1, 4] == "redo"
+    assert state(boards.redo(undone))[1, 4] == "current" and state(boards.redo(boards.redo(undone))) == state(boards.redo(undone))
+    pushed = state(boards.push(undone, spark.createDataFrame([(1, 9)], "board_id long, version long")))
+    assert pushed == {(1, 1): "undo", (1, 2): "undo", (1, 3): "undo", (1, 9): "current", (2, 1): "undo", (2, 2): "undo", (2, 3): "current", (2, 4): "redo"}
+
+
+def test_symbols_by_hand_make_a_text_sure(spark):
+    notes = spark.createDataFrame([(1, 1, "go", 50, ["a"]), (1, 2, "stay", 60, ["b"])], "board_id long, note_id long, text string, confidence long, corrections array<string>")
+    got = boards.insert_symbol(notes, spark.createDataFrame([(1, 1, "!")], "board_id long, note_id long, symbol string"))
+    assert sorted((r.note_id, r.text, r.confidence, r.corrections) for r in got.collect()) == [(1, "go !", 100, []), (2, "stay", 60, ["b"])]
+
+
 def test_fold_keeps_representatives():
     state = []
     for i in range(10):
