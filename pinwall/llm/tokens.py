@@ -1,4 +1,4 @@
-"""Token ids of a public tokenizer, encoded once for each distinct blank-free chunk.
+"""Token ids of a public tokenizer, encoded once for each distinct pre-token.
 
 The normaliser and the pre-tokeniser of the vocabulary never join characters across
 ASCII white space (which it drops), so a text's ids are the concatenation of its chunks'
@@ -21,10 +21,11 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
-#: Characters whose normal form, lower case and letter class are the same everywhere: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~\u00c0-\u00ff]*", re.ASCII)
-#: The vocabulary's pre-tokens for chunks of such characters in lower case; U+00D7 and U+00F7 are no letters.
-_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+#: What isn't a blank or a character whose normal form, lower case and letter class are the same everywhere (printable
+#: ASCII and Latin-1 letters), or may begin a special token.
+_ODD = re.compile("[^!-~\u00c0-\u00ff \n]|<\\|", re.ASCII)
+#: The vocabulary's pre-tokens of texts of such characters in lower case; U+00D7 and U+00F7 are no letters.
+_PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9 \n]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -35,44 +36,48 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class ChunkEncoder(dict):
-    """chunk -> its ids as little-endian uint32 bytes; at most `limit` chunks are remembered.
+    """pre-token -> its ids as little-endian uint32 bytes; at most `limit` are remembered.
 
-    With `plain` (the default vocabulary's normaliser and pre-tokeniser), chunks of _PLAIN
-    characters are split here and go straight to the vocabulary's model; all others, and all
-    chunks of other vocabularies, go through the whole tokenizer.
+    With `plain` (the default vocabulary's normaliser and pre-tokeniser), texts without _ODD
+    characters are split into pre-tokens here, which go straight to the vocabulary's model. All
+    others are taken chunk by chunk between blanks, and odd chunks, like all of other
+    vocabularies, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.plain = path.endswith(DEFAULT_TOKENIZER)
-        self.parts: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.limit = limit
         self.alphabet = _byte_alphabet()
 
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            shown = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode("utf-8")))
-            got = self.parts[part] = struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := self.model.tokenize(shown)) else b""
-        return got
-
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-            self.parts.clear()
-        # "<|" may begin a special token
-        if self.plain and _PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            got = b"".join(map(self._part, _PRETOKEN.findall(chunk.lower())))
-        else:
-            got = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = got
+        shown = part if part.isascii() else "".join(map(self.alphabet.__getitem__, part.encode("utf-8")))
+        found = [x.id for x in self.tokenize(shown)]
+        got = self[part] = struct.pack(f"<{len(found)}I", *found)
+        return got
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.plain and not _ODD.search(chunk):
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(chunk.lower())))
+        got = self.chunks.get(chunk)
+        if got is None:
+            if len(self.chunks) >= self.limit // 4:
+                self.chunks.clear()
+            got = self.chunks[chunk] = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         return got
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text, four bytes each."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if self.plain and not _ODD.search(text):
+            return b"".join(map(self.__getitem__, _PRETOKEN.findall(text.lower())))
+        return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
