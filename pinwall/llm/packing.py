@@ -16,7 +16,7 @@ from pinwall.llm import common, tokens
 
 CAPACITY = 2048
 #: Pieces that one island packs; islands for each such block; epochs, with a migration between two; children of an epoch.
-BLOCK, ISLANDS, EPOCHS, CHILDREN = 2000, 2, 2, 16
+BLOCK, ISLANDS, EPOCHS, CHILDREN = 2000, 2, 2, 10
 POPULATION = 4
 #: Odd islands begin with items in falling order of their lengths times a random number this close to 1; even ones in random order.
 BLUR = 0.3
