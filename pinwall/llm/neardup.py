@@ -397,8 +397,8 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
   ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' ')) END)) AS h FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-l AS (SELECT u, v FROM p JOIN n x ON p.u = x.doc_id JOIN n y ON p.v = y.doc_id WHERE 100 * both >= 85 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p JOIN n x ON p.u = x.doc_id JOIN n y ON p.v = y.doc_id WHERE 100 * common >= 85 * (x.n + y.n - common)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.other = e.u)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, min(other) = r.doc_id AS kept
