@@ -171,7 +171,9 @@ def _first_scores(index: DataFrame, pivots: dict[int, np.ndarray], k: int) -> Da
 def _query_blocks(queries: DataFrame) -> DataFrame:
     """block, dim, ids, vectors, floors, lo and hi (ranges of the distances to each pivot), least (floor), reach (largest squared norm): queries next to each other in the index's order."""
     n = max(1, -(-queries.count() // QUERIES))
-    order = ["dim", "pivot", "distance", "id"]
+    # queries without a score yet meet every leaf: they go into blocks of their own
+    queries = queries.withColumn("open", F.col("floor").isNull())
+    order = ["dim", "open", "pivot", "distance", "id"]
     schema = "block long, dim int, ids binary, vectors binary, floors binary, lo array<double>, hi array<double>, least double, reach double"
     out = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("floors", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("least", pa.float64()), ("reach", pa.float64())])
 
@@ -179,8 +181,8 @@ def _query_blocks(queries: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = batch.to_pylist()
-            for dim in sorted({r["dim"] for r in rows}):
-                mine = [r for r in rows if r["dim"] == dim]
+            for dim, open_ in sorted({(r["dim"], r["open"]) for r in rows}):
+                mine = [r for r in rows if (r["dim"], r["open"]) == (dim, open_)]
                 for at in range(0, len(mine), QUERIES):
                     part = mine[at : at + QUERIES]
                     x = np.concatenate([_unpacked(r["kind"], r["v"], 1, dim) for r in part])
