@@ -60,8 +60,9 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine readings a note: each reader misreads other letters, each variant drops or doubles something.
 
     Every sixth note ends in protected terms, and the gray variant of every sixth has full-width letters.
+    Notes are dealt out by their key before they become nine rows each, so what goes by note needs no shuffle of readings.
     """
-    n = notes(spark, sf_dir)
+    n = notes(spark, sf_dir).select("board_id", "note_id", "text").repartition("board_id", "note_id")
     reads = []
     for i, reader in enumerate(_READERS):
         src, dst = (("o", "0"), ("rn", "m"), ("l", "1"))[i]

@@ -245,6 +245,27 @@ def test_pipeline_reads_notes(spark):
     assert got[1].text == "new order" and got[2].engine == "none" and got[2].confidence == 0 and got[2].text == ""
 
 
+def test_fold_streams_many_notes_a_task(spark):
+    rng = random.Random(3)
+    scopes = [("note", None), ("note", 3), ("line", None), ("line", 0), ("line", 1), ("other", None)]
+    rows = [
+        (n // 9, n, i, rng.choice(["paddle", "dehtr", None]), rng.choice(["rgb", "selected", "x-fusion", "aggregate", None]), *rng.choice(scopes), rng.choice(["a", "b", "A b", "d", "\uff41", "..", " ", None]), rng.randint(1, 6))
+        for n in range(40)
+        for i in range(rng.randint(1, 40))
+    ]
+    found = fold.fold_evidence(spark.createDataFrame(rng.sample(rows, len(rows)), EVIDENCE))
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapGroups" not in plan
+    wanted, names = [], [c.split()[0] for c in EVIDENCE.split(", ")]
+    for n in range(40):
+        state = []
+        for r in rows:
+            if r[1] == n and (r[7] or "").strip():
+                state = fold.fold(state, dict(zip(names, r)))
+        wanted += [tuple(r[c] for c in found.columns) for r in fold.as_rows(state)]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:3]) == wanted
+
+
 def test_stream_folds_like_a_batch(spark, tmp_path):
     rows = [(1, n, s, "paddle", f"v{s % 3}", "note", None, f"text {s * 7 % 5}", 40 + s, g) for n in range(3) for g, s in ((0, 0), (0, 1), (1, 2), (1, 3), (1, 4))]
     kind = EVIDENCE + ", generation long"
