@@ -2,7 +2,9 @@
 
 Evidence has board_id, note_id, seq (arrival order within the note), engine, variant, scope
 ("note" or "line"), line_index, text and confidence. All groupings are by note, whose
-evidence is bounded, so windows and self-joins stay small at any number of boards.
+evidence is bounded, so windows and self-joins stay small at any number of boards. Exploded
+readings are many times what Spark expects them to be, so joins with a row for each note or
+reading are told to merge; otherwise a side would be broadcast by way of the driver.
 """
 
 from __future__ import annotations
@@ -282,7 +284,7 @@ def vote_metrics(evidence: DataFrame, finals: DataFrame, limit: int = 24) -> Dat
 
 def token_agreement(evidence: DataFrame, finals: DataFrame) -> DataFrame:
     """Each token of each reading and whether the final text has it."""
-    rows = evidence.join(finals, NOTE)
+    rows = evidence.join(finals.hint("merge"), NOTE)
     words = F.split(T.normalized_text(F.col("final_text")), " ")
     out = rows.select(*NOTE, "seq", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "token"), words.alias("finals"))
     return out.select(*NOTE, "seq", "pos", "token", F.array_contains("finals", T.normalized_text(F.col("token"))).alias("agrees"))

@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -294,3 +295,21 @@ def test_edit_verbs(spark):
     files = spark.createDataFrame([("a.png", 10, "image/png"), ("b.txt", 10, "text/plain"), ("c.png", 1 << 30, "image/png")], "path string, length long, media_type string")
     fine, bad = boards.accept_uploads(files)
     assert fine.count() == 1 and bad.count() == 2
+
+
+def _joins(df):
+    """Names of the joins of a plan as it begins, before sizes are known."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sorted(re.findall(r"\w+Join\b", plan.split("Initial Plan")[-1]))
+
+
+def _readings(spark):
+    rows = [(1, n, i, e, "rgb", "note", None, t, 70) for n in (1, 2) for i, (e, t) in enumerate([("paddle", "new 0rder"), ("dehtr", "new order"), ("tesseract", "new order")])]
+    return spark.createDataFrame(rows, EVIDENCE)
+
+
+def test_tokens_meet_final_texts_without_a_broadcast(spark):
+    finals = spark.createDataFrame([(1, 1, "new order"), (1, 2, "order")], "board_id long, note_id long, final_text string")
+    found = evidence.token_agreement(_readings(spark), finals)
+    assert _joins(found) == ["SortMergeJoin"]
+    assert {(r.note_id, r.token) for r in found.collect() if not r.agrees} == {(1, "0rder"), (2, "new"), (2, "0rder")}
