@@ -90,7 +90,7 @@ def pair_similarity(evidence: DataFrame, *keep: str) -> DataFrame:
     rows = evidence.select(*NOTE, "seq", *keep, T.normalized_line(F.col("text")).alias("norm"))
     left = rows.select(*NOTE, *(F.col(c).alias(f"left_{c}") for c in ("seq", *keep, "norm")))
     right = rows.select(*NOTE, *(F.col(c).alias(f"right_{c}") for c in ("seq", *keep, "norm")))
-    pairs = left.join(right, NOTE).where("left_seq < right_seq")
+    pairs = left.join(right.hint("merge"), NOTE).where("left_seq < right_seq")
     return pairs.withColumn("similarity", T.key_similarity(F.col("left_norm"), F.col("right_norm"))).drop("left_norm", "right_norm")
 
 

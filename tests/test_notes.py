@@ -313,3 +313,9 @@ def test_tokens_meet_final_texts_without_a_broadcast(spark):
     found = evidence.token_agreement(_readings(spark), finals)
     assert _joins(found) == ["SortMergeJoin"]
     assert {(r.note_id, r.token) for r in found.collect() if not r.agrees} == {(1, "0rder"), (2, "new"), (2, "0rder")}
+
+
+def test_pairs_of_readings_are_no_broadcast(spark):
+    found = evidence.pair_similarity(_readings(spark))
+    assert _joins(found) == ["SortMergeJoin"]
+    assert sorted((r.note_id, r.left_seq, r.right_seq, round(r.similarity, 3)) for r in found.collect()) == [(n, *p) for n in (1, 2) for p in ((0, 1, 0.875), (0, 2, 0.875), (1, 2, 1.0))]
