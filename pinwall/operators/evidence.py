@@ -175,9 +175,9 @@ def assessed(evidence: DataFrame, lexicon: DataFrame, context: DataFrame | None
     key = [*NOTE, "seq"]
     spread = evidence.select(*key, F.explode(T.words(F.col("text"))).alias("w")).select(*key, F.lower("w").alias("word"))
     known = spread.join(lexicon.select("word").distinct().withColumn("hit", F.lit(1)), "word", "left").groupBy(*key).agg(F.count(F.lit(1)).alias("n_words"), F.count(F.when(F.col("hit").isNotNull() | F.col("word").isin(*PROTECTED_TERMS), 1)).alias("n_known"))
-    out = evidence.join(known, key, "left").fillna(0, ["n_words", "n_known"])
+    out = evidence.join(known.hint("merge"), key, "left").fillna(0, ["n_words", "n_known"])
     if context is not None:
-        out = out.join(context, NOTE, "left")
+        out = out.join(context.hint("merge"), NOTE, "left")
     else:
         out = out.withColumn("expected_lines", F.lit(None).cast("int")).withColumn("expected_chars", F.lit(None).cast("int"))
     return out.withColumn("assessment", T.assess(F.col("text"), F.col("confidence").cast("double"), F.col("n_known"), F.col("expected_lines"), F.col("expected_chars")))

@@ -319,3 +319,15 @@ def test_pairs_of_readings_are_no_broadcast(spark):
     found = evidence.pair_similarity(_readings(spark))
     assert _joins(found) == ["SortMergeJoin"]
     assert sorted((r.note_id, r.left_seq, r.right_seq, round(r.similarity, 3)) for r in found.collect()) == [(n, *p) for n in (1, 2) for p in ((0, 1, 0.875), (0, 2, 0.875), (1, 2, 1.0))]
+
+
+def _words(spark):
+    return spark.createDataFrame([("order",)], "word string")
+
+
+def test_assessed_readings_are_no_broadcast(spark):
+    context = spark.createDataFrame([(1, 1, 1, 8), (1, 2, 1, 8)], "board_id long, note_id long, expected_lines int, expected_chars int")
+    found = evidence.assessed(_readings(spark), _words(spark), context)
+    # the lexicon may be broadcast, what is known of readings and notes not
+    assert _joins(found).count("SortMergeJoin") >= 2 >= len(_joins(found)) - 1
+    assert sorted((r.note_id, r.seq, r.n_words, r.n_known) for r in found.collect()) == [(n, *x) for n in (1, 2) for x in ((0, 2, 0), (1, 2, 1), (2, 2, 1))]
