@@ -199,7 +199,7 @@ def collapse_readers(evidence: DataFrame, lexicon: DataFrame) -> DataFrame:
         + F.least(F.size(T.usable_lines(F.col("text"))), F.lit(6)) * 0.06
         + T.clamp(F.length(T.normalized_line(F.col("text"))) / F.greatest(F.lit(1), F.col("expected_chars")), 0.0, 1.0) * 0.16
     )
-    rows = rows.join(near, [*NOTE, "seq"], "left").withColumn("score", score)
+    rows = rows.join(near.hint("merge"), [*NOTE, "seq"], "left").withColumn("score", score)
     order = Window.partitionBy(*NOTE, "engine").orderBy(F.col("score").desc(), "seq")
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(*NOTE, "engine", "seq", "variant", "text", "confidence", "score")
 

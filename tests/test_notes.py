@@ -331,3 +331,9 @@ def test_assessed_readings_are_no_broadcast(spark):
     # the lexicon may be broadcast, what is known of readings and notes not
     assert _joins(found).count("SortMergeJoin") >= 2 >= len(_joins(found)) - 1
     assert sorted((r.note_id, r.seq, r.n_words, r.n_known) for r in found.collect()) == [(n, *x) for n in (1, 2) for x in ((0, 2, 0), (1, 2, 1), (2, 2, 1))]
+
+
+def test_collapsed_readers_are_no_broadcast(spark):
+    found = evidence.collapse_readers(_readings(spark), _words(spark))
+    assert _joins(found).count("SortMergeJoin") >= 4 >= len(_joins(found)) - 1
+    assert sorted((r.note_id, r.seq) for r in found.collect()) == [(n, i) for n in (1, 2) for i in range(3)]
