@@ -125,7 +125,7 @@ def stability(evidence: DataFrame, selected: DataFrame) -> DataFrame:
     """note, stability: the greatest similarity of its selected text (selected: note, text) to its readings, 0 without any. Leave the selected reading itself out of evidence if it is one of them."""
     mine = selected.select(*NOTE, T.normalized_line(F.col("text")).alias("a"))
     peers = evidence.select(*NOTE, T.normalized_line(F.col("text")).alias("b"))
-    best = mine.join(peers, NOTE, "left").groupBy(*NOTE).agg(F.max(T.key_similarity(F.col("a"), F.col("b"))).alias("s"))
+    best = mine.join(peers.hint("merge"), NOTE, "left").groupBy(*NOTE).agg(F.max(T.key_similarity(F.col("a"), F.col("b"))).alias("s"))
     return best.select(*NOTE, F.coalesce("s", F.lit(0.0)).alias("stability"))
 
 

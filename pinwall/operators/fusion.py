@@ -215,7 +215,7 @@ def fuse_notes(evidence: DataFrame, lexicon: DataFrame, context: DataFrame | Non
     words = whole.select("board_id", F.explode(T.words(F.col("text"))).alias("w"))
     forms = words.select("board_id", F.explode(F.array("w", F.lower("w"))).alias("word")).distinct()
     known = forms.join(lexicon.select("word").distinct(), "word").groupBy("board_id").agg(F.collect_set("word").alias("known"))
-    rows = whole.join(known, "board_id", "left")
+    rows = whole.join(known.hint("merge"), "board_id", "left")
     if context is not None:
         rows = rows.join(context, ["board_id", "note_id"], "left")
     else:

@@ -337,3 +337,14 @@ def test_collapsed_readers_are_no_broadcast(spark):
     found = evidence.collapse_readers(_readings(spark), _words(spark))
     assert _joins(found).count("SortMergeJoin") >= 4 >= len(_joins(found)) - 1
     assert sorted((r.note_id, r.seq) for r in found.collect()) == [(n, i) for n in (1, 2) for i in range(3)]
+
+
+def _fused(spark):
+    return spark.createDataFrame([(1, 1, "new order", 80), (1, 2, "old", 80)], "board_id long, note_id long, text string, confidence long")
+
+
+def test_stability_is_no_broadcast(spark):
+    found = evidence.stability(_readings(spark), _fused(spark))
+    assert _joins(found) == ["SortMergeJoin"]
+    assert sorted((r.note_id, round(r.stability, 3)) for r in found.collect()) == [(1, 1.0), (2, 0.25)]
+    assert [j for j in _joins(fusion.fuse_notes(_readings(spark), _words(spark))) if j == "SortMergeJoin"]
