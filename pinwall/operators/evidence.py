@@ -97,7 +97,7 @@ def pair_similarity(evidence: DataFrame, *keep: str) -> DataFrame:
 def pair_agreement(evidence: DataFrame) -> DataFrame:
     """note and the greatest similarity of any two of its readings (0 for a single one)."""
     best = pair_similarity(evidence).groupBy(*NOTE).agg(F.max("similarity").alias("agreement"))
-    return evidence.select(*NOTE).distinct().join(best, NOTE, "left").select(*NOTE, F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
+    return evidence.select(*NOTE).distinct().join(best.hint("merge"), NOTE, "left").select(*NOTE, F.coalesce("agreement", F.lit(0.0)).alias("agreement"))
 
 
 def best_reading(evidence: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def weak_notes(evidence: DataFrame, fused: DataFrame) -> DataFrame:
     """
     best = best_reading(evidence).select(*NOTE, F.col("text").alias("b_text"), F.col("confidence").cast("long").alias("b_confidence"))
     mine = fused.select(*NOTE, F.col("text").alias("f_text"), F.col("confidence").cast("long").alias("f_confidence"))
-    current = best.join(mine, NOTE, "left").select(*NOTE, F.coalesce("f_text", "b_text").alias("text"), F.when(F.col("f_text").isNotNull(), F.col("f_confidence")).otherwise(F.col("b_confidence")).alias("confidence"))
-    joined = current.withColumn("quality", T.text_quality(F.col("text"), F.col("confidence"))).join(pair_agreement(evidence), NOTE)
+    current = best.join(mine.hint("merge"), NOTE, "left").select(*NOTE, F.coalesce("f_text", "b_text").alias("text"), F.when(F.col("f_text").isNotNull(), F.col("f_confidence")).otherwise(F.col("b_confidence")).alias("confidence"))
+    joined = current.withColumn("quality", T.text_quality(F.col("text"), F.col("confidence"))).join(pair_agreement(evidence).hint("merge"), NOTE)
     weak = (F.col("agreement") < 0.62) | (F.col("quality") < 62) | ((F.col("confidence") < 74) & (F.col("agreement") < 0.86))
     return joined.select(*NOTE, "agreement", "quality", "confidence", weak.alias("weak"))
 

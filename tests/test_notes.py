@@ -348,3 +348,9 @@ def test_stability_is_no_broadcast(spark):
     assert _joins(found) == ["SortMergeJoin"]
     assert sorted((r.note_id, round(r.stability, 3)) for r in found.collect()) == [(1, 1.0), (2, 0.25)]
     assert [j for j in _joins(fusion.fuse_notes(_readings(spark), _words(spark))) if j == "SortMergeJoin"]
+
+
+def test_the_weak_gate_is_no_broadcast(spark):
+    found = evidence.weak_notes(_readings(spark), _fused(spark))
+    assert _joins(found) == ["SortMergeJoin"] * 4
+    assert sorted((r.note_id, r.agreement, r.weak) for r in found.collect()) == [(1, 1.0, False), (2, 1.0, False)]
