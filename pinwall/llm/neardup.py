@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinwall.llm import common, graph
@@ -22,8 +22,8 @@ CHUNKS, SYMBOLS = 7, 4
 THRESHOLD = 2 * CHUNKS - 1
 #: Centres for each key in the two star rounds.
 CENTRES, STAR_ROUNDS = 4, 2
-#: Exact round: distances to a hub's centre are told apart in steps of 1 / STEPS; bytes of sets in a block of strays and of others.
-STEPS, STRAY_BYTES, OTHER_BYTES = 20, 1 << 18, 1 << 19
+#: Exact round: distances to a hub's centre are told apart in steps of 1 / STEPS; bytes of sets in a block of strays and of others; what a set counts as at least.
+STEPS, STRAY_BYTES, OTHER_BYTES, LEAST_BYTES = 20, 1 << 18, 1 << 19, 1 << 8
 
 _SIG = [f"s{i}" for i in range(CHUNKS)]
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, CHUNKS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -292,8 +292,9 @@ def _exact(mixed: DataFrame, sig: DataFrame, sets: DataFrame, links: DataFrame,
 
     The Jaccard distance is a metric too. Strays and members of a hub are put into steps of
     their exact distance to the hub's centre; sets whose steps are further apart than the
-    linking distance can't be linked and never meet. What is left meets block against block,
-    a block holding a bounded number of bytes of sets.
+    linking distance can't be linked and never meet. What is left meets block against block. A
+    block holds a bounded number of bytes of sets: those of neighbouring steps as long as they
+    fit, or a share of one step; a set is copied for each block that it meets, not for each step.
     """
     rows = _centred(mixed, sig, links)
     mine = sets.select("node", "tokens")
@@ -307,7 +308,7 @@ def _exact(mixed: DataFrame, sig: DataFrame, sets: DataFrame, links: DataFrame,
                 total = (len(a) + len(b)) // 8 - both
                 step.append(STEPS - both * STEPS // total)
                 linked.append(100 * both >= percent * total)
-                size.append(len(a))
+                size.append(max(len(a), LEAST_BYTES))
             return {n: cols[n] for n in ("hub", "node", "root")} | {"step": step, "linked": linked, "size": size}
 
         return each
@@ -321,18 +322,25 @@ def _exact(mixed: DataFrame, sig: DataFrame, sets: DataFrame, links: DataFrame,
     strays = common.written(placed.where("root <> hub").join(joined, ["hub", "root"], "left_anti"))
     reach = (100 - percent) * STEPS // 100 + 1
 
-    def plan(rows: DataFrame, step: str, blocks: str, size: int) -> DataFrame:
-        return rows.groupBy("hub", F.col("step").alias(step)).agg(F.ceil(F.sum("size") / size).cast("int").alias(blocks))
+    def plan(rows: DataFrame, side: str, size: int) -> DataFrame:
+        """hub, the first and last step of each stretch of steps, its steps, and in how many blocks it is cut."""
+        steps = rows.groupBy("hub", "step").agg(F.sum("size").alias("bytes"))
+        below = F.sum("bytes").over(Window.partitionBy("hub").orderBy("step")) - F.col("bytes")
+        stretches = steps.withColumn("at", F.floor(below / size)).groupBy("hub", "at")
+        first, last, blocks = F.min("step"), F.max("step"), F.ceil(F.sum("bytes") / size).cast("int")
+        return stretches.agg(first.alias(side), last.alias(side + "_last"), F.collect_list("step").alias(side + "_steps"), blocks.alias("n" + side)).drop("at")
 
-    pairs = plan(strays, "s", "ns", STRAY_BYTES).join(plan(placed, "o", "no", OTHER_BYTES), "hub").where(F.abs(F.col("s") - F.col("o")) <= reach)
+    apart = F.greatest(F.col("s") - F.col("o_last"), F.col("o") - F.col("s_last"))
+    pairs = plan(strays, "s", STRAY_BYTES).join(plan(placed, "o", OTHER_BYTES), "hub").where(apart <= reach)
     pairs = common.written(pairs)
 
-    def dealt(rows: DataFrame, own: str, block: str, n_own: str, their_block: str, n_theirs: str, side: int) -> DataFrame:
-        out = rows.withColumnRenamed("step", own).join(pairs, ["hub", own]).withColumn(block, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
+    def dealt(rows: DataFrame, steps: str, block: str, n_own: str, their_block: str, n_theirs: str, side: int) -> DataFrame:
+        met = pairs.select("hub", F.explode(steps).alias("step"), "s", "ns", "o", "no")
+        out = rows.join(met, ["hub", "step"]).withColumn(block, F.pmod(F.xxhash64("node"), F.col(n_own)).cast("int"))
         out = out.withColumn(their_block, F.explode(F.sequence(F.lit(0), F.col(n_theirs) - 1)))
         return out.select("node", "hub", "s", "sb", "o", "ob", F.lit(side).alias("side"), "root")
 
-    cards = dealt(strays, "s", "sb", "ns", "ob", "no", 0).unionByName(dealt(placed, "o", "ob", "no", "sb", "ns", 1))
+    cards = dealt(strays, "s_steps", "sb", "ns", "ob", "no", 0).unionByName(dealt(placed, "o_steps", "ob", "no", "sb", "ns", 1))
     unit = ["hub", "s", "sb", "o", "ob"]
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     units = cards.join(mine, "node").select(*unit, "side", "root", "tokens").repartition(n, *unit).sortWithinPartitions(*unit, "side")

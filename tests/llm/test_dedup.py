@@ -273,3 +273,28 @@ def test_lines_of_odd_rows(odd, empty):
     got = rows_of(line_dedup.line_dedup(odd))
     assert len(got) == odd.count() and all(r["kept_text"] is None for r in got if r["row"]["text"] is None)
     assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_neighbouring_steps_share_blocks(spark, monkeypatch):
+    """A set is copied for each block of bounded size that it meets, not for each step of distance."""
+    monkeypatch.setattr(neardup, "CENTRES", 1)
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 1)
+    copied = []
+    plain = neardup.common.map_batches
+
+    def counted(rows, *rest):
+        if "ob" in rows.columns:
+            copied.append((rows.count(), rows.select("hub", "s", "sb", "o", "ob").distinct().count(), rows.select("hub").distinct().count()))
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(neardup.common, "map_batches", counted)
+    rng = random.Random(17)
+    words, texts = [f"x{i}" for i in range(80)], []
+    for _ in range(150):
+        words = [w if rng.random() > 0.012 else f"e{rng.randint(0, 9999)}" for w in words]
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_components([{"doc_id": i, "text": t} for i, t in rows], 3, 85)
+    [(_, units, hubs)] = copied
+    assert units == hubs
