@@ -10,6 +10,8 @@ from pinwall.llm import common, tokens
 
 #: Lengths are gathered into ranges of so many tokens; a range is one window group of at most as many rows.
 RANGE = 1024
+#: Files of the written histogram: k different lengths need k^2 / 2 tokens, so 10^12 tokens have at most 1.4 million rows.
+FILES = 4
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -40,9 +42,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     ranges of RANGE lengths, and what lies above a range is added from the ranges' sums.
     """
     # written out: three plans below read the histogram, and encoding is the expensive part
-    hist = common.written(
-        lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).withColumn("bin", F.floor(F.col("length") / RANGE))
-    )
+    counts = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    # lengths are counted in all shuffle partitions, but each file costs its executor a writer and several short-lived processes
+    parts = min(FILES, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hist = common.written(counts.withColumn("bin", F.floor(F.col("length") / RANGE)).repartition(parts))
     bins = hist.groupBy("bin").agg(F.sum("n_docs").alias("bin_docs"), F.sum("n_tokens").alias("bin_tokens"))
     above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -9,7 +9,7 @@ import pytest
 from conftest import rows_of
 from tokenizers import Tokenizer
 
-from pinwall.llm import packing, token_counts, tokens
+from pinwall.llm import common, packing, token_counts, tokens
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,25 @@ def test_histogram_answers_every_limit(docs, odd, empty, tokenizer):
     assert token_counts.length_histogram(token_counts.encoded_lengths(empty)).count() == 0
 
 
+def test_histogram_is_written_to_few_files(spark, docs, monkeypatch):
+    """A session of many shuffle partitions doesn't write a file for each: a few lengths would start hundreds of writers."""
+    made, plain = [], common.written
+    monkeypatch.setattr(common, "written", lambda df: made.append(plain(df)) or made[-1])
+    wide = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    lengths = token_counts.encoded_lengths(docs)
+    want = collections.Counter(r["n_tokens"] for r in rows_of(lengths))
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = {r["length"]: r["n_docs"] for r in rows_of(token_counts.length_histogram(lengths))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and len(want) > token_counts.FILES
+    assert len(made) == 1 and 0 < len(made[0].inputFiles()) <= token_counts.FILES
+
+
 def check_packing(rows, docs, tokenizer, capacity=2048):
     want = []
     for r in docs:
