@@ -45,8 +45,8 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows = []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = enc.ids(t) + end
+                for k, ids in zip(part.column(0).to_pylist(), enc.many(part.column(1).to_pylist())):
+                    ids += end
                     for n, start in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[start : start + 4 * capacity]
                         rows.append((k, n, start // 4, len(piece) // 4, zlib.crc32(piece), item) + (piece,) * with_ids)

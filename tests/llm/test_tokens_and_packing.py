@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from tokenizers import Tokenizer
@@ -31,6 +32,50 @@ def test_chunks_encode_like_whole_texts(tokenizer, docs):
         assert np.frombuffer(small.ids(t), "<u4").tolist() == ids(tokenizer, t)
 
 
+def test_many_texts_encode_like_each(tokenizer, docs, odd, monkeypatch):
+    rng = random.Random(6)
+    pieces = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", "'x", "\"", "!", "!!!!", "<", "|", "7", "42", "a", "the", "Th", "É", "é", "ß", "×", "÷", "ÿ", "À", "naïve", "-" * 40, "é" * 16, "é" * 17, "x" * 16, "X" * 17, "9" * 20]
+    pieces += ["".join(rng.choice("etaoinsrhlé") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    texts += [None, "", " ", "\n\n", "'", "<|endoftext|> a", "x<", "|y", "a\tb", "\x00", "中 it's", "x" * 500, *(t * 20 for t in texts[:20])]
+    texts += [r["text"] for df in (docs, odd) for r in rows_of(df)]
+    want = [np.array(ids(tokenizer, t), "<u4").tobytes() for t in texts]
+    assert tokens.ChunkEncoder(tokens.default_path()).many(texts) == want
+    # texts of more than a step go in stretches; a single text or none is a block, too
+    monkeypatch.setattr(tokens, "STEP", 64)
+    small = tokens.ChunkEncoder(tokens.default_path(), limit=50)
+    assert small.many(texts) == want
+    assert small.many([]) == [] and [small.many([t])[0] for t in texts[:100]] == want[:100]
+
+
+def test_merge_tables_hold_every_pair_and_no_other():
+    made = tokens.Merges(tokens.default_path())
+    rank = np.arange(len(made.made))
+    keys = np.concatenate([keys[found < made.NONE] for _, keys, found in made.tables])
+    assert len(keys) == len(set(keys.tolist()) | {0}) >= len(rank)
+    assert sorted(made.ranks((keys >> 16).astype(np.uint16), (keys & 0xFFFF).astype(np.uint16)).tolist()) == rank.tolist()
+    a, b = np.random.default_rng(1).integers(0, 49_000, (2, 100_000)).astype(np.uint16)
+    assert ((made.ranks(a, b) < made.NONE) == np.isin(a.astype(np.uint32) << np.uint32(16) | b, keys)).all()
+
+
+def test_unseen_words_are_not_encoded_one_by_one(spark, monkeypatch):
+    """Most distinct words of a corpus are rare, so that a call of the vocabulary's model for each costs more than all else."""
+    rng = random.Random(9)
+    words = {"".join(rng.choice("etaoinsrhlu") for _ in range(rng.randint(6, 14))) for _ in range(3000)}
+    made = tokens.ChunkEncoder(tokens.default_path())
+    model, asked = made.tokenize, []
+    made.tokenize = lambda w: asked.append(w) or model(w)
+    monkeypatch.setattr(tokens, "encoder", lambda path: made)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    taken = []
+    monkeypatch.setattr(common, "map_batches", lambda df, run, schema: taken.append(run))
+    packing.pieces(spark.createDataFrame([(1, "x")], "doc_id long, text string"))
+    text = " ".join(sorted(words) + ["w" * 20])
+    (got,) = taken[0]([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])
+    assert asked == ["w" * 20]
+    assert sum(got.column("length").to_pylist()) == len(made.ids(text)) // 4 + 1 and len(asked) > len(words) // 2
+
+
 def test_histogram_answers_every_limit(docs, odd, empty, tokenizer):
     for df in (docs, odd):
         want = [len(ids(tokenizer, r["text"])) for r in rows_of(df)]
